@@ -1 +1 @@
-
+"""Plain numpy and Python: hashes, confidence intervals, quantile and sampling summaries."""

@@ -1 +1,3 @@
+"""Tables in and sketches out."""
 
+from tallyforge.sources.store import *  # noqa: F403
