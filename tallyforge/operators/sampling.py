@@ -48,8 +48,9 @@ def threshold(df: DataFrame, weight: str, k: int) -> DataFrame:
     order = Window.orderBy(F.col("w").desc())
     top = w.orderBy(F.col("w").desc()).limit(k).select("w", (F.row_number().over(order) - 1).alias("h"), F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
     tried = top.crossJoin(F.broadcast(total)).select("h", "w", "n_rows", ((F.col("total") - F.col("above")) / (F.lit(k) - F.col("h"))).alias("tau"))  # one row
-    first = tried.where((F.col("w") < F.col("tau")) | (F.col("h") == k - 1)).agg(F.min(F.struct("h", "tau", "n_rows")).alias("x"))
-    return first.select(F.when(F.col("x.n_rows") <= k, F.lit(0.0)).otherwise(F.col("x.tau")).alias("tau"), F.col("x.h").cast("long").alias("n_heavy"), F.col("x.n_rows").alias("n_rows"))
+    first = tried.where((F.col("w") < F.col("tau")) | (F.col("h") == k - 1)).agg(F.min(F.struct("h", "tau")).alias("x"))
+    few = F.col("n_rows") <= k
+    return total.crossJoin(F.broadcast(first)).select(F.when(few, F.lit(0.0)).otherwise(F.col("x.tau")).alias("tau"), F.when(few, F.col("n_rows")).otherwise(F.col("x.h").cast("long")).alias("n_heavy"), "n_rows")  # one row each
 
 
 def varopt(df: DataFrame, weight: str, k: int, seed: int = 42) -> DataFrame:
