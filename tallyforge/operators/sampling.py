@@ -31,6 +31,19 @@ def reservoir_union(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return a.unionByName(b).orderBy("__draw").limit(k)
 
 
+def reservoir_weighted_union(a: DataFrame, seen_a: int, b: DataFrame, seen_b: int, k: int, seed: int = 42) -> DataFrame:
+    """A sample of k of two streams from their samples alone, without their draws.
+
+    Each row of a sample stands for seen / size rows; the k least of -log(u) / weight are a sample by weight.
+    """
+    sides = []
+    for rows, seen in ((a, seen_a), (b, seen_b)):
+        size = rows.count()
+        sides.append(rows.drop("__draw").withColumn("__weight", F.lit(seen / size if size else 0.0)))
+    both = sides[0].unionByName(sides[1])
+    return both.withColumn("__draw", -F.log(F.greatest(F.rand(seed), F.lit(1e-300))) / F.col("__weight")).orderBy("__draw").limit(k).drop("__weight")
+
+
 def subset_sum(sample: DataFrame, n_seen: int, predicate: Column) -> tuple[float, float, float, float]:
     """(lower, estimate, upper, total) of how many of n_seen rows fit, from a uniform sample."""
     r = sample.agg(F.count("*").alias("n"), F.sum(F.when(predicate, 1).otherwise(0)).alias("m")).first()

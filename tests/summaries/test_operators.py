@@ -183,3 +183,24 @@ def test_stored_sketches(spark, items):
     assert back.agg(F.theta_sketch_estimate(F.theta_union_agg("s", F.lit(12))).alias("e")).first().e == 700
     with pytest.raises(ValueError):
         load_sketches(spark, path, "theta", lg_k=11)
+
+
+def test_describe_and_rows(spark, items):
+    from tallyforge.operators import describe
+
+    for what in ("kll", "req", "tdigest"):
+        s = quantiles.summarise(items, "x", what=what)
+        r = s.select(describe.describe("sketch", what).alias("d"), describe.weighted_items("sketch", what).alias("w")).first()
+        assert (r.d.n, r.d.low, r.d.high, r.d.estimating) == (3000, "0.0", "2999.0", True) and r.d.retained == len(r.w)
+        assert r.w[-1].upto == 3000 and [x.item for x in r.w] == sorted(x.item for x in r.w)
+    t = items.agg(theta.sketch("k").alias("s")).select(describe.describe("s", "theta").alias("d"), describe.theta_hashes("s").alias("h")).first()
+    assert t.d.retained == len(t.h) == 700 and not t.d.estimating
+    own = theta.build(items, "k", lg_k=7, how="murmur3").groupBy("theta").agg(F.collect_list("hash").alias("h"))
+    image = own.select("theta", describe.theta_from_rows(F.col("h"), F.col("theta")).alias("s"))
+    assert image.select(F.theta_sketch_estimate("s").alias("e")).first().e == round(128 / (own.first().theta / MAX_HASH))
+
+
+def test_reservoir_union_by_weight(spark):
+    a, b = (sampling.reservoir(spark.range(x, y), 100) for x, y in ((0, 9000), (9000, 10_000)))
+    u = sampling.reservoir_weighted_union(a, 9000, b, 1000, 100)
+    assert u.count() == 100 and 75 <= u.where("id < 9000").count() <= 99
