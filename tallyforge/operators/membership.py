@@ -57,3 +57,13 @@ def probe(df: DataFrame, item: str, filter_bits: DataFrame, expected: int = 10_0
 
 def bits_used(filter_bits: DataFrame) -> DataFrame:
     return filter_bits.agg(F.count("*").alias("bits_used"))
+
+
+def query_and_update(df: DataFrame, item: str, filter_bits: DataFrame, expected: int = 10_000, false_positives: float = 0.01, how: str = "xxhash64") -> tuple[DataFrame, DataFrame]:
+    """(df with maybe, as the filter was before; the filter with df's items)."""
+    return probe(df, item, filter_bits, expected, false_positives, how), union(filter_bits, build(df, item, expected, false_positives, how))
+
+
+def compatible(a: tuple[int, float], b: tuple[int, float]) -> bool:
+    """Whether filters of these (expected, false_positives) can be combined: same bits and hashes."""
+    return bloom_sizes(*a) == bloom_sizes(*b)

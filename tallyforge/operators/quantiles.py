@@ -124,3 +124,14 @@ def distribution(sketch: Column | str, splits: list, what: str = "kll", cumulati
         return pd.Series([(lambda q: q.cdf(splits) if cumulative else q.pmf(splits))(make.from_bytes(x)) for x in s])
 
     return of(sketch)
+
+
+def rank_bounds(rank: Column | str, n: Column | str, k: int = 12, kappa: int = 2, high: bool = True) -> Column:
+    """struct<low, high>: where the true rank of a relative-error summary's rank lies."""
+    from tallyforge.kernels.intervals import req_rank_bounds
+
+    @F.pandas_udf("struct<low: double, high: double>")
+    def of(r: pd.Series, seen: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([req_rank_bounds(float(a), k, int(b), kappa, high) for a, b in zip(r, seen, strict=True)], columns=["low", "high"])
+
+    return of(rank, n)

@@ -102,3 +102,15 @@ def varopt_subset_sum(sample: DataFrame, predicate: Column) -> tuple[float, floa
         return heavy, heavy, heavy, r["all"] or 0.0
     low, high = intervals.proportion_lower(n, m, 2.0), intervals.proportion_upper(n, m, 2.0)
     return heavy + low * rest, heavy + m / n * rest, heavy + high * rest, r["all"]
+
+
+def varopt_union(a: DataFrame, b: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """A sample of k of the union of two samples: their adjusted weights are sampled again."""
+    both = a.unionByName(b).withColumnRenamed("__weight", "__before")
+    return varopt(both, "__before", k, seed).drop("__before")
+
+
+def weighted(sample: DataFrame, seen: int) -> DataFrame:
+    """A uniform sample as a weighted one: each row stands for seen / size rows."""
+    size = sample.count()
+    return sample.drop("__draw").withColumn("__weight", F.lit(seen / size if size else 0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import MAX_HASH, hash63, theta_bound, theta_estimate
+from tallyforge.operators import theta
 from tallyforge.operators.theta import DEFAULT_LG_K, _trim, check_lg_k
 
 
@@ -48,9 +49,7 @@ def intersect(a: DataFrame, b: DataFrame, merge: Mapping[str, Column], groups: l
 
 def a_not_b(a: DataFrame, b: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Keys of a that are not in b, a tuple or a theta sketch; a's summaries stay."""
-    from tallyforge.operators.theta import a_not_b as anti
-
-    return anti(a, b.select(*(groups or []), "hash", "theta"), groups)
+    return theta.a_not_b(a, b.select(*(groups or []), "hash", "theta"), groups)
 
 
 def where(sketch: DataFrame, predicate: Column) -> DataFrame:
@@ -66,6 +65,27 @@ def estimate(sketch: DataFrame, groups: list[str] | None = None, sums: tuple[str
     return out.select(*(groups or []), n, t, theta_estimate(n, t).alias("estimate"), theta_bound(n, t, kappa, False).alias("lb"), theta_bound(n, t, kappa, True).alias("ub"), *[(F.col(c) / rate).alias(c) for c in sums])
 
 
+def _theta_of(sketch: DataFrame) -> DataFrame:
+    return sketch.select("hash", "theta")
+
+
+def jaccard(a: DataFrame, b: DataFrame) -> tuple[float, float, float]:
+    """(lower, estimate, upper) of the similarity of two sketches' keys, whatever their summaries."""
+    return theta.jaccard(_theta_of(a), _theta_of(b))
+
+
+def exactly_equal(a: DataFrame, b: DataFrame) -> bool:
+    return theta.exactly_equal(_theta_of(a), _theta_of(b))
+
+
+def similar(measured: DataFrame, expected: DataFrame, threshold: float) -> bool:
+    return jaccard(measured, expected)[0] >= threshold
+
+
+def dissimilar(measured: DataFrame, expected: DataFrame, threshold: float) -> bool:
+    return jaccard(measured, expected)[2] <= threshold
+
+
 def array_sum(col: str, size: int) -> Column:
     """Element-wise sum of arrays of one size, as a summary or a merge."""
     return F.array(*[F.sum(F.element_at(F.col(col), i + 1)) for i in range(size)])

@@ -204,3 +204,18 @@ def test_reservoir_union_by_weight(spark):
     a, b = (sampling.reservoir(spark.range(x, y), 100) for x, y in ((0, 9000), (9000, 10_000)))
     u = sampling.reservoir_weighted_union(a, 9000, b, 1000, 100)
     assert u.count() == 100 and 75 <= u.where("id < 9000").count() <= 99
+
+
+def test_wrappers(spark, items):
+    a = tuples.build(items.where("k < 400"), "k", {"n": F.count("*")})
+    b = tuples.build(items.where("k >= 200"), "k", {"n": F.count("*")})
+    assert tuples.jaccard(a, b) == pytest.approx((200 / 700,) * 3) and tuples.exactly_equal(a, a)
+    assert tuples.similar(a, a, 0.9) and tuples.dissimilar(a, b, 0.5)
+    w = spark.range(500).withColumn("w", F.lit(2.0))
+    u = sampling.varopt_union(sampling.varopt(w, "w", 30), sampling.weighted(sampling.reservoir(w, 20), 500), 25)
+    assert u.count() == 25 and u.agg(F.sum("__weight")).first()[0] == pytest.approx(1500.0)
+    seen, bits = membership.query_and_update(spark.range(10), "id", membership.build(spark.range(5), "id", 100), 100)
+    assert seen.where("maybe").count() >= 5 and same(bits, membership.build(spark.range(10), "id", 100))
+    assert membership.compatible((100, 0.01), (100, 0.01)) and not membership.compatible((100, 0.01), (1000, 0.01))
+    r = spark.range(1).select(quantiles.rank_bounds(F.lit(0.5), F.lit(10**6)).alias("b")).first().b
+    assert r.low < 0.5 < r.high
