@@ -44,6 +44,36 @@ def frequent(summary: tuple[DataFrame, int], threshold: int | None = None, error
     return rows(summary).where(F.col("lb" if errors == NO_FALSE_POSITIVES else "ub") >= at)
 
 
+def build_by(df: DataFrame, keys: list[str], item: str, capacity: int, weight: str | None = None) -> DataFrame:
+    """(keys, item, cnt, offset): a summary for each group; what is cut in a group is its offset."""
+    w = F.lit(1).cast("long") if weight is None else F.when(F.col(weight) >= 0, F.col(weight)).otherwise(F.raise_error(F.lit("a weight is negative")))
+    counts = df.where(F.col(item).isNotNull()).groupBy(*keys, F.col(item).alias("item")).agg(F.sum(w).alias("cnt"))
+    return _cut_by(counts.withColumn("before", F.lit(0).cast("long")), keys, capacity)
+
+
+def _cut_by(counts: DataFrame, keys: list[str], capacity: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.col("cnt").desc(), "item")
+    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= capacity + 1)
+    over = F.coalesce(F.max(F.when(F.col("place") == capacity + 1, F.col("cnt"))).over(Window.partitionBy(*keys)), F.lit(0))
+    return top.withColumn("offset", F.col("before") + over).where(F.col("place") <= capacity).select(*keys, "item", "cnt", "offset")
+
+
+def merge_by(a: DataFrame, b: DataFrame, keys: list[str], capacity: int) -> DataFrame:
+    """Groups of both; a group's offsets add up."""
+    both = a.unionByName(b)
+    sides = [s.groupBy(*keys).agg(F.max("offset").alias("o")) for s in (a, b)]
+    total = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("o").alias("before"))
+    return _cut_by(both.groupBy(*keys, "item").agg(F.sum("cnt").alias("cnt")).join(total, keys), keys, capacity)
+
+
+def frequent_by(summary: DataFrame, threshold: int = 0, errors: str = NO_FALSE_POSITIVES) -> DataFrame:
+    """(keys, item, estimate, lb, ub) of the items of each group whose bound reaches the threshold."""
+    at = F.greatest(F.lit(threshold), F.col("offset"))
+    low, high = F.col("cnt"), F.col("cnt") + F.col("offset")
+    rest = [c for c in summary.columns if c not in ("cnt", "offset")]
+    return summary.where((low if errors == NO_FALSE_POSITIVES else high) >= at).select(*rest, high.alias("estimate"), low.alias("lb"), high.alias("ub"))
+
+
 def top_k(col: Column | str, k: int, capacity: int = 10_000) -> Column:
     """Spark's own aggregate: an array of (item, count)."""
     name = col if isinstance(col, str) else col._jc.toString()

@@ -54,6 +54,11 @@ def build(df: DataFrame, col: Column | str, keys: list[str] | None = None, lg_k:
     return _trim(hashes.withColumn("theta", F.lit(start).cast("long")), keys, 1 << check_lg_k(lg_k))
 
 
+def trim(s: DataFrame, lg_k: int, keys: list[str] | None = None) -> DataFrame:
+    """The sketch cut to a smaller nominal size."""
+    return _trim(s, keys or [], 1 << check_lg_k(lg_k))
+
+
 def union(a: DataFrame, b: DataFrame, keys: list[str] | None = None, lg_k: int = DEFAULT_LG_K) -> DataFrame:
     keys = keys or []
     both = a.unionByName(b)

@@ -16,7 +16,7 @@ from tallyforge.functions import MAX_HASH, hash63
 from tallyforge.kernels import intervals
 from tallyforge.operators import cpc, frequency, hll, membership, quantiles, sampling, theta, tuples
 from tallyforge.sources import load_sketches, save_sketches, scratch, table
-from tallyforge.streaming import drained, stream_table, windowed
+from tallyforge.streaming import deduplicated, drained, running, stream_table, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -362,6 +362,13 @@ def freq_purged_bounds(spark, sf):
     return held.select("item", "exact", within.alias("within"))
 
 
+@query("SELECT l_returnflag, l_suppkey AS item, count(*) AS estimate, count(*) AS lb, count(*) AS ub FROM lineitem GROUP BY l_returnflag, l_suppkey HAVING count(*) >= 100")
+def freq_by_group(spark, sf):
+    li = table(spark, sf, "lineitem")
+    a, b = (frequency.build_by(li.where(f"l_linenumber % 2 = {i}"), ["l_returnflag"], "l_suppkey", 1 << 20) for i in (0, 1))
+    return frequency.frequent_by(frequency.merge_by(a, b, ["l_returnflag"], 1 << 20), 100)
+
+
 @query(
     f"""WITH i AS (SELECT l_partkey AS item, count(*) AS w FROM lineitem GROUP BY 1), r AS (SELECT unnest(range(5)) AS row)
     SELECT row::INT AS row, ({H60.format("(row::VARCHAR || ':' || item::VARCHAR)")} * 8) % 272 AS bucket, sum(w)::BIGINT AS w FROM i, r GROUP BY 1, 2"""
@@ -486,6 +493,18 @@ def stream_windowed_quantile(spark, sf):
     return drained(w).select("event_type", F.col("window.start").cast("date").alias("day"), quantiles.kll_quantiles("s", [0.5])[0].alias("median"))
 
 
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def stream_running_digest(spark, sf):
+    """A t-digest per user, kept as state."""
+    return drained(running(stream_table(spark, sf, "events"), "value", ["user_id"]), "update").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def stream_deduplicated(spark, sf):
+    first = drained(deduplicated(stream_table(spark, sf, "events"), ["user_id", "event_type"], "ts", "60 days"), "append")
+    return first.groupBy("user_id").agg(F.count("*").alias("kinds"))
+
+
 @query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, quantile_disc(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderstatus")
 def sketch_roundtrip(spark, sf):
     path = scratch(spark, "sketches")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["drained", "stream_table", "windowed"]
+__all__ = ["deduplicated", "drained", "running", "stream_table", "windowed"]
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,27 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def deduplicated(events: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
+    """The first row of each key within the watermark; the state holds keys only as long as late rows may come."""
+    marked = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return marked.dropDuplicatesWithinWatermark(keys)
+
+
+def running(events: DataFrame, value: str, keys: list[str], what: str = "tdigest", **how) -> DataFrame:
+    """(keys, n, sketch) of all rows so far, for keys with new rows: a summary kept as state, for what Spark has no aggregate."""
+    from tallyforge.operators.quantiles import KINDS
+
+    make = KINDS[what]
+    fields = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+
+    def update(key, frames, state):
+        s = make.from_bytes(bytes(state.get[0])) if state.exists else make(**how)
+        for frame in frames:
+            s.extend(frame[value].dropna().tolist())
+        data = s.to_bytes()
+        state.update((data,))
+        yield pd.DataFrame([[*key, s.n, data]], columns=[*keys, "n", "sketch"])
+
+    return events.select(*keys, value).groupBy(*keys).applyInPandasWithState(update, f"{fields}, n long, sketch binary", "sketch binary", "update", "NoTimeout")
