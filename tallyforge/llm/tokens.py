@@ -70,12 +70,46 @@ def words_of(text: str) -> list[str]:
     return chunks_of(text)
 
 
+#: One unit each: the letters and numbers of SAFE_CLASS, in lower case.
+_SINGLE = re.compile(f"[a-zªµºß-öø-įĲ-ňŊ-ž]+|[{_NUMBER}]")
+_ends: dict[str, np.ndarray] = {}
+
+
+def _word_ends(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    if path not in _ends:
+        vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        _ends[path] = out
+    return _ends[path]
+
+
 def encode_words(path: str, words: list[str], dtype: np.dtype) -> list[bytes]:
-    """Each word's ids as bytes, from the library."""
-    t = tokenizer(path)
-    out = []
-    for at in range(0, len(words), 4096):
-        out += [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+    """Each word's ids as bytes, from the library.
+
+    Words of letters are one unit to the vocabulary's pattern and end in one id that says so,
+    so many of them go to the library as one text, at half the cost of one call each.
+    """
+    t, ends = tokenizer(path), _word_ends(path)
+    out: list[bytes | None] = [None] * len(words)
+    plain = [k for k, w in enumerate(words) if _SINGLE.fullmatch(w)]
+    groups = [plain[at : at + 512] for at in range(0, len(plain), 512)]
+    for at in range(0, len(groups), 8):
+        some = groups[at : at + 8]
+        for group, e in zip(some, t.encode_batch_fast([" ".join([words[k] for k in g]) for g in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype)
+            to = (np.flatnonzero(ends[ids]) + 1) * dtype.itemsize
+            if len(to) != len(group):
+                raise RuntimeError("the vocabulary does not mark word ends")
+            raw = ids.tobytes()
+            for k, a, b in zip(group, [0, *to.tolist()], to.tolist(), strict=False):
+                out[k] = raw[a:b]
+    rest = [k for k, x in enumerate(out) if x is None]
+    for at in range(0, len(rest), 4096):
+        group = rest[at : at + 4096]
+        for k, e in zip(group, t.encode_batch_fast([words[k] for k in group], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype).tobytes()
     return out
 
 
