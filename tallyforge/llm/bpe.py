@@ -1,12 +1,13 @@
 """BPE encoding and decoding over a table of distinct words.
 
-1. Texts are split into words in Spark, and the distinct words counted (partial counts in
-   each task come first, so a very common word is one row a task).
-2. Each distinct word is encoded once, with the tokenizers library: the word table.
-3. Documents are packed into parts of some megabytes, a compressed row each, stored by part.
-   The most frequent words (HEAD at most, of HEAD_BYTES at most: a fixed bound) go to every
-   task; a part lists its other distinct words, those are joined with the word table, and
-   come back to the part, whose words then take their ids by position.
+1. Texts are split into words in Spark. Tasks pack documents into parts of some megabytes: a
+   part has its distinct words with their counts, most frequent first, and for each
+   document the place of each of its words among them. Parts are stored, by part.
+2. The parts' words make the table of distinct words (a part's word is one row, however
+   often it stands), and each is encoded once, with the tokenizers library.
+3. The most frequent words (HEAD at most, of HEAD_CHARS at most: a fixed bound) go to every
+   task; a part's other words are joined with the word table and come back to the part, and
+   every word of a document takes its ids by position. The texts do not move.
 4. Decoding joins ids with the vocabulary's pieces, a table bounded by the vocabulary.
 
 Defined results: null text is an empty text with no ids and an empty decoded text; any
@@ -22,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import new_path, only, read_table, sliced, texts_of, written
-from tallyforge.llm.tokens import SAFE_CLASS, SPACES, SPECIAL, WORDS, encode_words, id_type, tokenizer, vocabulary_path, vocabulary_size, words_of
+from tallyforge.llm.common import new_path, only, read_table, sliced, written
+from tallyforge.llm.tokens import SAFE_CLASS, SPACES, SPECIAL, WORDS, encode_words, id_type, tokenizer, vocabulary_path, vocabulary_size
 
 #: Words that every task holds: at most so many, of at most so many characters.
 HEAD, HEAD_CHARS = 1 << 19, 32
-#: Text bytes of a part.
-PART_BYTES = 8 << 20
+#: Word bytes of a part.
+PART_BYTES = 12 << 20
 
 
 def split_words(text: Column) -> Column:
@@ -42,8 +44,8 @@ def split_words(text: Column) -> Column:
     return F.when(plain, fine).otherwise(rough)
 
 
-def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n, ids): every distinct word, how often it stands, its ids as bytes."""
+def word_table(parts: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids): every distinct word of the parts, how often it stands, its ids as bytes."""
     dtype = id_type(vocabulary_size(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +53,8 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encode_words(path, words, dtype), pa.binary())], ["word", "n", "ids"])
 
-    counted = docs.select(F.explode(split_words(docs[text_col])).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = parts.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
+    counted = each.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
     return written(counted.mapInArrow(run, "word string, n long, ids binary"), "words")
 
 
@@ -83,60 +86,104 @@ def _head(key: str, shared) -> dict[str, bytes]:
     return _heads[key]
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as compressed byte planes: most are small, so the upper planes are nearly free."""
+    planes = np.ascontiguousarray(codes.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    flat = pa.Codec("zstd").decompress(data, decompressed_size=4 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
+PART = "part string, words array<string>, counts array<int>, sizes array<int>, codes binary"
+
+
+def _make_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, words) rows: PART rows with the documents' ids."""
+    for whole in batches:
+        for batch in sliced(whole, PART_BYTES):
+            lists = batch.column(1)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
+            coded = lists.flatten().dictionary_encode()
+            own = np.asarray(coded.indices)
+            counts = np.bincount(own, minlength=len(coded.dictionary)).astype(np.int32)
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            cols = [pa.array([uuid.uuid4().hex]), one(coded.dictionary.take(pa.array(order))), one(pa.array(counts[order])), one(sizes.cast(pa.int32())), pa.array([_packed(place[own])], pa.binary()), one(batch.column(0))]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "words", "counts", "sizes", "codes", "docs"])
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Per document: its id and ids (array<int>); with digest, what op6 reports instead."""
     spark = docs.sparkSession
     rows = only(docs, doc_id=id_col, text=text_col)
-    id_type_name = rows.schema["doc_id"].dataType.simpleString()
-    words = word_table(rows, path)
-    shared, key = _shared_head(spark, words), uuid.uuid4().hex
+    id_name = rows.schema["doc_id"].dataType.simpleString()
     dtype = id_type(vocabulary_size(path))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head(key, shared)
-        for whole in batches:
-            for batch in sliced(whole, PART_BYTES):
-                seen: set[str] = set()
-                for t in texts_of(batch):
-                    seen.update(words_of(t))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
-                    w.write_batch(batch)
-                data = sink.getvalue().to_pybytes()
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([data], pa.binary()), pa.array([list(seen.difference(head))], pa.list_(pa.string()))], ["part", "data", "rare"])
-
-    # stored by part: the join below then moves words and ids, not the texts
+    # stored by part: the join below then moves words and ids, not documents
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"parts_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(parts, "part string, data binary, rare array<string>")
+    made = rows.select("doc_id", split_words(F.col("text")).alias("words")).mapInArrow(_make_parts, f"{PART}, docs array<{id_name}>")
     made.write.format("parquet").option("path", new_path(spark, "parts")).option("compression", "zstd").bucketBy(n, "part").saveAsTable(name)
-    stored = spark.table(name)
-    asked = stored.select("part", F.explode("rare").alias("word"))
+    parts = spark.table(name)
+
+    words = word_table(parts, path)
+    shared, key = _shared_head(spark, words), uuid.uuid4().hex
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = _head(key, shared)
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out = [w for w in own.values.to_pylist() if w not in head]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.string()), pa.array(out, pa.string())], ["part", "word"])
+
+    asked = parts.select("part", "words").mapInArrow(rare, "part string, word string")
     answered = asked.join(words.select("word", "ids").hint("shuffle_hash"), "word").groupBy("part").agg(F.collect_list(F.struct("word", "ids")).alias("got"))
-    joined = stored.select("part", "data", F.size("rare").alias("n_rare")).join(answered, "part", "left")
+    joined = parts.select("part", "words", "sizes", "codes", "docs").join(answered, "part", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, pieces = _head(key, shared), Pieces(path)
         for whole in batches:
             for k in range(whole.num_rows):
-                data, n_rare, got = (whole.column(c)[k] for c in range(3))
+                own_words, sizes, data, doc_ids, got = (whole.column(c)[k] for c in range(5))
                 own = {} if not got.is_valid else dict(zip(got.values.field("word").to_pylist(), got.values.field("ids").to_pylist(), strict=True))
-                if len(own) != n_rare.as_py():
-                    raise RuntimeError("a part's words did not all come back")
-                table = pa.ipc.open_stream(data.as_buffer()).read_all()
-                out: list = []
-                for t in texts_of(table.combine_chunks().to_batches()[0]) if table.num_rows else []:
-                    ids = np.frombuffer(b"".join([head.get(w) or own[w] for w in words_of(t)]), dtype)
-                    out.append(_digest(ids, pieces) if digest else ids.astype(np.int32))
-                doc_ids = table.column("doc_id").combine_chunks()
-                if digest:
-                    cols = [*zip(*out, strict=True)] or [[]] * 3
-                    yield pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    schema = f"doc_id {id_type_name}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return joined.select("data", "n_rare", "got").mapInArrow(finish, schema)
+                # a word that did not come back is a KeyError, never a gap
+                ids = [head[w] if w in head else own[w] for w in own_words.values.to_pylist()]
+                to = np.cumsum(np.asarray(sizes.values)).tolist()
+                codes = _unpacked(data.as_py(), to[-1] if to else 0)
+                out = _digests(ids, codes, to, dtype, pieces) if digest else _ids(ids, codes, to, dtype)
+                yield pa.RecordBatch.from_arrays([doc_ids.values, *out], ["doc_id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids",))])
+
+    schema = f"doc_id {id_name}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
+    return joined.select("words", "sizes", "codes", "docs", "got").mapInArrow(finish, schema)
+
+
+def _ids(ids: list[bytes], codes: np.ndarray, to: list[int], dtype: np.dtype) -> list[pa.Array]:
+    """Each document's ids: its words' ids, one word after another."""
+    texts = [b"".join(map(ids.__getitem__, codes[a:b].tolist())) for a, b in zip([0, *to], to, strict=False)]
+    flat = np.frombuffer(b"".join(texts), dtype).astype(np.int32)
+    ends = np.cumsum([0, *(len(t) // dtype.itemsize for t in texts)])
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+
+
+def _digests(ids: list[bytes], codes: np.ndarray, to: list[int], dtype: np.dtype, pieces: Pieces) -> list[pa.Array]:
+    """Each document's token count and the digests of its ids and of their pieces; words are put in text form once."""
+    numbers = [np.frombuffer(x, dtype).tolist() for x in ids]
+    size = np.array([len(x) for x in numbers], np.int64)
+    decimal = [" ".join([pieces.decimal[i] for i in x]) for x in numbers]
+    decoded = [" ".join([pieces.piece[i] for i in x]) for x in numbers]
+    n, shas = [], ([], [])
+    for a, b in zip([0, *to], to, strict=False):
+        own = codes[a:b]
+        n.append(int(size[own].sum()))
+        own = own[size[own] > 0].tolist()  # odd white space can be a word without ids
+        for out, texts in zip(shas, (decimal, decoded), strict=True):
+            out.append(hashlib.sha256(" ".join(map(texts.__getitem__, own)).encode()).hexdigest())
+    return [pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in shas)]
 
 
 class Pieces:
@@ -149,11 +196,6 @@ class Pieces:
         self.decimal = [str(i) for i in range(n)]
 
 
-def _digest(ids: np.ndarray, pieces: Pieces) -> tuple[int, str, str]:
-    numbers = ids.tolist()
-    return len(numbers), hashlib.sha256(" ".join([pieces.decimal[i] for i in numbers]).encode()).hexdigest(), hashlib.sha256(" ".join([pieces.piece[i] for i in numbers]).encode()).hexdigest()
-
-
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with a column decoded: each id's piece from the vocabulary table, by position.
 

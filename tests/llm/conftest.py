@@ -30,6 +30,7 @@ TEXTS = [
     "*** ### $$$ %%% " * 30,
     "a" * 3000,
     "<|endoftext|> x\u00a0y\x1cz",
+    "a \u00a0 b \u200a c",
 ]
 
 
