@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, only, read_table, sliced, texts_of, written
-from tallyforge.llm.graph import connected
-from tallyforge.llm.quality import _MULT, _SPACE, _TABLE, mix64, powers
+from tallyforge.llm.graph import connected, roots
+from tallyforge.llm.quality import _MULT, _SPACE, inverse_powers, mix64, prefix_hashes
 
 SHINGLE, THRESHOLD = 5, (4, 5)
 ROWS, BANDS = 4, 32
@@ -59,11 +59,10 @@ def shingles(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    p, inv = powers(len(buf) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * p[:-1], dtype=np.uint64)])
+    sums = prefix_hashes(buf)
     edge = np.flatnonzero(np.diff(_SPACE[buf], prepend=True))
     a, b = edge[::2], edge[1::2]
-    word = mix64((sums[b] - sums[a]) * inv[a] ^ (b - a).astype(np.uint64) * _MULT)
+    word = mix64((sums[b] - sums[a]) * inverse_powers(a) ^ (b - a).astype(np.uint64) * _MULT)
     first = np.searchsorted(a, starts)
     last = np.append(first[1:], len(a))
     gram = word
@@ -182,20 +181,6 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], sx: np.ndarray, sy: np.ndar
     return i[fit], j[fit]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least connected node of each of n nodes."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, th, fp, sig) of (doc_id, th, text), written. fp is null for a text without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -274,7 +259,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return f
 
     banded = map_batches(reps.select("rid", "sig"), bands, "key long, rid long")
-    least = banded.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "b")
+    # written first: a join straight from tables is one whose hot keys Spark can split
+    least = written(banded.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "b"), "buckets")
     families = connected(banded.join(least, "key").select(F.col("rid").alias("a"), "b"))
     families = written(families.select(F.col("id").alias("rid"), F.col("root").alias("family")), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > 1)

@@ -35,18 +35,45 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _TABLE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE, _MULT = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD1342543DE82EF95)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _PIECE = 1 << 20
+_BLOCK = 1 << 16
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i < n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, np.uint64(base))
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BACK = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_BACK, _BLOCK)
+
+
+def prefix_hashes(buf: np.ndarray) -> np.ndarray:
+    """Sums of byte values times base**position modulo 2**64, before each position; in blocks, so that
+    a long text costs eight bytes a byte."""
+    out = np.zeros(len(buf) + 1, np.uint64)
+    factor, step = np.ones(1, np.uint64), np.array([pow(_BASE, _BLOCK, 1 << 64)], np.uint64)
+    for at in range(0, len(buf), _BLOCK):
+        part = _TABLE[buf[at : at + _BLOCK]]
+        part *= _UP[: len(part)]
+        np.cumsum(part, out=part)
+        part *= factor
+        part += out[at]
+        out[at + 1 : at + 1 + len(part)] = part
+        factor *= step
+    return out
+
+
+def inverse_powers(at: np.ndarray) -> np.ndarray:
+    """base**-position for each position."""
+    high = _powers(pow(_BACK, _BLOCK, 1 << 64), int(at.max(initial=0) >> 16) + 1)
+    return high[at >> 16] * _DOWN[at & (_BLOCK - 1)]
+
+
+def inverse_powers_upto(n: int) -> np.ndarray:
+    high = _powers(pow(_BACK, _BLOCK, 1 << 64), n // _BLOCK + 1)
+    return (high[:, None] * _DOWN[None, :]).ravel()[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -78,13 +105,13 @@ def measure(texts: list[str], lengths=tuple(COVER_LIMITS)) -> dict[str, np.ndarr
     sizes = np.fromiter(map(len, raw), np.int64, n_docs)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     ends = starts + sizes
-    p, inv = powers(len(buf) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * p[:-1], dtype=np.uint64)])
-    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[buf])])
+    sums = prefix_hashes(buf)
+    small = np.int32 if len(buf) < 1 << 31 else np.int64
+    points = np.concatenate([np.zeros(1, small), np.cumsum((buf & 0xC0) != 0x80, dtype=small)])
+    symbols = np.concatenate([np.zeros(1, small), np.cumsum(_SYMBOL[buf], dtype=small)])
 
     def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64((sums[b] - sums[a]) * inv[a] ^ (b - a).astype(np.uint64) * _MULT)
+        return mix64((sums[b] - sums[a]) * inverse_powers(a) ^ (b - a).astype(np.uint64) * _MULT)
 
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(space, prepend=True))
@@ -97,8 +124,7 @@ def measure(texts: list[str], lengths=tuple(COVER_LIMITS)) -> dict[str, np.ndarr
 
     l_to = np.flatnonzero(buf == 10)
     l_at = np.concatenate([[0], l_to[:-1] + 1])
-    words_before = np.concatenate([[0], np.cumsum(np.diff(space, prepend=True) & ~space)])
-    has_word = words_before[l_to] > words_before[l_at]
+    has_word = np.searchsorted(w_at, l_to) > np.searchsorted(w_at, l_at)
     l_at, l_to = l_at[has_word], l_to[has_word]
     l_doc = np.searchsorted(starts, l_at, "right") - 1
     keys = mix64(hashes(l_at, l_to) ^ salt[l_doc])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import only, read_table, sliced, texts_of, written
-from tallyforge.llm.quality import _MULT, _TABLE, mix64, powers
+from tallyforge.llm.quality import _MULT, inverse_powers, inverse_powers_upto, mix64, prefix_hashes
 
 LENGTH, GRAM = 400, 64
 BEFORE = LENGTH - GRAM
@@ -64,9 +64,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _segment(buf: np.ndarray, start: int, stop: int, at_start: bool, at_end: bool):
     """Anchors of the strings that begin at start..stop, in a segment with its surroundings."""
     n, w = len(buf), BEFORE + 1
-    p, inv = powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * p[:-1], dtype=np.uint64)])
-    grams = mix64((sums[GRAM:] - sums[:-GRAM]) * inv[: n - GRAM + 1])
+    sums = prefix_hashes(buf)
+    grams = mix64((sums[GRAM:] - sums[:-GRAM]) * inverse_powers_upto(n - GRAM + 1))
     # the least of hash and reversed position, over windows of w grams, from running minima of blocks of w
     ranked = (grams & ~_LOW) | (_LOW - np.arange(len(grams), dtype=np.uint64))
     padded = np.full(-(-len(ranked) // w) * w, np.uint64(2**64 - 1))
@@ -78,7 +77,7 @@ def _segment(buf: np.ndarray, start: int, stop: int, at_start: bool, at_end: boo
     least = np.minimum(back[s], ahead[s + w - 1])
     at = np.unique((_LOW - (least & _LOW)).astype(np.int64))
     lo, hi = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, n)
-    whole = mix64((sums[hi] - sums[lo]) * inv[lo] ^ (at - lo).astype(np.uint64) * _MULT)
+    whole = mix64((sums[hi] - sums[lo]) * inverse_powers(lo) ^ (at - lo).astype(np.uint64) * _MULT)
     return at, grams[at], mix64(whole ^ (hi - at).astype(np.uint64) * _MULT)
 
 
@@ -230,9 +229,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lo, hi): byte ranges that are repeated; they may overlap. docs: doc_id, th, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     every = written(docs.mapInArrow(_find_anchors, f"doc_id {kind}, th long, pos long, h long, f long, size int").where("size >= %d" % LENGTH), "anchors")
-    shared = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # both grouped sides are written first: a join straight from tables is one whose hot keys Spark can split
+    shared = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     several = written(every.join(shared, "h"), "shared-anchors")
-    kinds = several.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("one"))
+    kinds = written(several.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("one")), "kinds")
     copied = several.join(kinds.where("n > 1").select("h", "f"), ["h", "f"]).select("doc_id", "th", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("lo"), (F.greatest(F.col("pos") - BEFORE, F.lit(0)) + F.col("size")).alias("hi"))
     by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("h", (F.col("kinds") > HOT).alias("hot"))
     open_ = kinds.join(by_anchor, "h").select("one.doc_id", "one.th", F.struct("h", F.col("one.pos").alias("pos"), (F.col("n") == 1).alias("single"), "hot").alias("x"))
@@ -279,6 +279,3 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read_table(spark, sf_dir, "documents")).drop("kept", "removed")
-
-
-__all__ = ["anchors", "merged_repeats", "op5_repeats", "repeated_spans", "without_repeats"]
