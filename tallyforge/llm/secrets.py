@@ -29,7 +29,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_batches, only, read_table, texts_of
 
@@ -303,6 +302,3 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None)
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(read_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return scan(docs)
-
-
-__all__ = ["F", "all_spans", "base_spans", "op1_secrets", "redact", "redacted", "scan"]
