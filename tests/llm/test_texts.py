@@ -67,6 +67,22 @@ def test_measure_on_any_texts(texts):
         assert m["dup_chars_5"][k] == sum(len(ws[j]) for j in hit)
 
 
+def test_quality_limits_decide_on_what_base_passes():
+    fresh = [f"w{k:03d}" for k in range(400)]
+    block, short = " ".join(fresh[:20]), " ".join(fresh[:6])
+    texts = [
+        "\n".join([block, " ".join(fresh[100:130]), block, " ".join(fresh[200:230])]),  # 40 of 100 words in repeated 10-grams
+        "\n".join([short, " ".join(fresh[100:130]), short, " ".join(fresh[200:230])]),  # one short line said twice
+        "\n".join(x for k in range(20) for x in ("again this", " ".join(fresh[7 * k : 7 * k + 7]))),  # a quarter in a line that is too short for n-grams
+    ]
+    m = quality.measure(texts)
+    failed, kept = quality.verdicts(m)
+    assert (m["dup_chars_10"] * 100 // m["word_chars"]).tolist() == [40, 0, 0]
+    assert (m["dup_line_chars"] * 100 // m["word_chars"]).tolist() == [20, 8, 23]
+    assert failed.tolist() == [False] * 3
+    assert kept.tolist() == [False, True, False]
+
+
 KEY = "AKIA" + "Q7" * 10
 ASSIGN = 'password = "hunter2x"'
 
