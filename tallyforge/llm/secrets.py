@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 A text is a layer. A worklist unwraps what a layer encloses: percent escapes, Unicode
-escapes, base64 runs, and compressed bytes inside those. Each new layer is scanned like
+escapes, base64 runs, and compressed bytes inside those, with all their members and frames. Each new layer is scanned like
 the text and put on the list, until none brings anything new; a layer's content that was
 seen for this place already is a cycle and ends there. Every layer knows which characters
 of the original text each of its own came from, so spans are always in code points of the
@@ -45,6 +45,28 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _UNIT = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+#: How compressed data start: gzip, zlib, bzip2, xz, zstd and its frames to skip.
+_MAGICS = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", *(bytes([0x50 + k]) + b"\x2a\x4d\x18" for k in range(16)))
+_NULS = re.compile(rb"\x00*")
+_SHORT = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "0": 0, "\\": 92, "'": 39, '"': 34, "/": 47}
+
+
+def _magic(mark: str, forms: str) -> re.Pattern:
+    """The starts, each byte as an escape (@@ and @ are its two and its least hexadecimal digits) or as it is."""
+
+    def one(b: int) -> str:
+        out = [forms.replace("@@", f"(?i:{b:02x})").replace("@", f"(?i:{b:x})")]
+        out += [re.escape(chr(b))] if 0x20 < b < 0x7F else []
+        out += [rf"\\{c}" for c, v in _SHORT.items() if v == b < 32] if mark == "\\" else []
+        return f"(?:{'|'.join(out)})"
+
+    return re.compile("|".join("".join(map(one, m)) for m in _MAGICS))
+
+
+#: Bytes in text, for each kind of escape: its mark, the starts, a run, and a run's bytes as (digits, short escape, plain).
+_PERCENT_BYTE = r"%([0-9A-Fa-f]{2})|([^\x00-\U0010ffff])|([!-$&-~])"
+_ESCAPED_BYTE = r"""\\(?:x|u00|U000000|u(?=\{0{0,4}[0-9A-Fa-f]{1,2}\}))([0-9A-Fa-f]{2}|\{[0-9A-Fa-f]+\})|\\([abtnvfr0\\'"/])|([\x20-\[\]-~])"""
+_BYTES = [(mark, _magic(mark, forms), re.compile(f"(?:{byte})+"), re.compile(byte)) for mark, forms, byte in (("%", "%@@", _PERCENT_BYTE), ("\\", r"\\x@@|\\u00@@|\\U000000@@|\\u\{0*@\}", _ESCAPED_BYTE))]
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\x85\xa0-\ud7ff\ue000-\U0010ffff]")
 
 
@@ -135,36 +157,117 @@ def _unicode(layer: Layer) -> Layer | None:
     return _from_units(layer, [*pieces, (t[at:], at, len(t))]) if at else None
 
 
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    """What compressed data hold, or None if they are none. Raises OverflowError beyond most bytes."""
-    if data[:2] == b"\x1f\x8b":
+def _stream(data, at: int, most: int) -> tuple[bytes, int] | None:
+    """What the member or frame at a place holds and where it ends, or None if there is none.
+
+    One that is cut off or damaged gives what comes before and ends with the data. Raises
+    OverflowError beyond most bytes.
+    """
+    head, step = bytes(data[at : at + 6]), 1 << 16
+    if head[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
+    elif len(head) > 2 and head[0] == 0x78 and int.from_bytes(head[:2], "big") % 31 == 0:
         d = zlib.decompressobj()
-    elif data[:3] == b"BZh":
+    elif head[:3] == b"BZh":
         d = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
+    elif head == b"\xfd7zXZ\x00":
         d = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+    elif head[:4] == b"\x28\xb5\x2f\xfd" or (head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5):
         import zstandard
 
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(most + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > most:
-            raise OverflowError
-        return out
+        # it has no limit of its own, so that steps are short: a block of four bytes may hold 128 KiB
+        d, step = zstandard.ZstdDecompressor().decompressobj(), 256
     else:
         return None
+    limited, out, size, k = step > 256, [], 0, 256
     try:
-        out = d.decompress(data, most + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        while at < len(data) and not d.eof:
+            part = data[at : at + k]
+            at += len(part)
+            out.append(d.decompress(part, most - size + 1) if limited else d.decompress(part))
+            size += len(out[-1])
+            if size > most:
+                raise OverflowError
+            k = min(2 * k, step)
+    except OverflowError:
+        raise
+    except Exception:  # each format has its own error
+        return (b"".join(out), len(data)) if size else None
+    return b"".join(out), at - len(d.unused_data)
+
+
+def _members(data, at: int, most: int) -> tuple[list[bytes], int] | None:
+    """What the members or frames from a place on hold, one after the other, and their end."""
+    parts = []
+    while (one := _stream(data, at, most)) is not None:
+        parts.append(one[0])
+        most -= len(one[0])
+        at = _NULS.match(data, one[1]).end()
+    return (parts, at) if parts else None
+
+
+def _opened(data, at: int, budget: list[int]) -> tuple[list[bytes], int] | None:
+    """Every content of the compressed data at a place, through all compressions, and their end."""
+    if (first := _members(data, at, budget[0])) is None:
         return None
-    if len(out) > most:
-        raise OverflowError
-    return out
+    out, work = [], [first[0]]
+    budget[0] -= sum(map(len, first[0]))
+    while work:
+        parts = work.pop()
+        whole = b"".join(parts)
+        # a later member that is compressed data itself starts inside the whole
+        for k, one in enumerate([whole, *parts[1:]]):
+            if (inner := _members(one, 0, budget[0])) is not None:
+                budget[0] -= sum(map(len, inner[0]))
+                work.append([*inner[0], one[inner[1] :]] if inner[1] < len(one) else inner[0])
+            elif k == 0:
+                out.append(whole)
+    return out, first[1]
+
+
+def _escaped(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[int, int]]]:
+    """Layers for compressed bytes written as escapes, and as plain characters between those; places not unpacked."""
+    out, refused, t = [], [], layer.text
+    for mark, magic, run, token in _BYTES:
+        if mark not in t:
+            continue
+        end, done = 0, 0
+        for m in magic.finditer(t):
+            a = m.start()
+            if a < done:
+                continue
+            if a >= end:
+                start, end = a, run.match(t, a).end()
+                tokens = [*token.finditer(t, start, end)]
+                data = bytes(_byte(x) for x in tokens)
+                at = np.fromiter((x.start() for x in tokens), np.int64, len(tokens))
+            k = int(np.searchsorted(at, a))
+            try:
+                if k == len(at) or at[k] != a or (got := _opened(data, k, budget)) is None:
+                    continue
+            except OverflowError:
+                refused.append((a, end))
+                done = end
+                continue
+            done = int(at[got[1]]) if got[1] < len(at) else end
+            if not layer.text[a:done].isascii() or mark not in t[a:done]:
+                continue
+            out += [_whole(layer, x.decode("utf-8", "replace"), a, done) for x in got[0]]
+    return out, refused
+
+
+def _byte(token: re.Match) -> int:
+    """The byte of an escape or of a plain character."""
+    digits, short, plain = token.groups()
+    return int(digits.strip("{}"), 16) if digits else _SHORT[short] if short else ord(plain)
+
+
+def _whole(layer: Layer, text: str, a: int, b: int) -> Layer:
+    """A layer each of whose characters comes from all of a range."""
+    f, e = np.full(len(text), a), np.full(len(text), b)
+    if layer.first is not None and len(text):
+        f, e = layer.first[f], layer.last[e - 1]
+    return Layer(text, f, e)
 
 
 def _base64(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[int, int]]]:
@@ -179,30 +282,23 @@ def _base64(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[in
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        whole = False
+        a = m.start()
         try:
-            while (more := _unpacked(data, budget[0])) is not None:
-                budget[0] -= len(more)
-                data, whole = more, True
+            if (got := _opened(data, 0, budget)) is not None:
+                out += [_whole(layer, x.decode("utf-8", "replace"), a, m.end()) for x in (*got[0], data[got[1] :])]
         except OverflowError:
             refused.append(m.span())
             continue
-        a = m.start()
-        if whole:
-            text = data.decode("utf-8", "replace")
-            # every character comes from all of the run
-            f, e = np.full(len(text), a), np.full(len(text), m.end())
-        else:
-            try:
-                text = data.decode()
-            except UnicodeDecodeError:
-                continue
-            if not text or _ODD.search(text):
-                continue
-            sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            sizes = 1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)
-            to = np.cumsum(sizes)
-            f, e = a + (to - sizes) * 4 // 3, np.minimum(a + -(-to * 4 // 3), m.end())
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            continue
+        if not text or _ODD.search(text):
+            continue
+        sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = 1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)
+        to = np.cumsum(sizes)
+        f, e = a + (to - sizes) * 4 // 3, np.minimum(a + -(-to * 4 // 3), m.end())
         if layer.first is not None and len(text):
             f, e = layer.first[f], layer.last[e - 1]
         if text:
@@ -221,8 +317,9 @@ def all_spans(text: str, most: int = MAX_UNPACKED) -> list[tuple[int, str, int]]
         t = layer.text
         new = [x for x in (_percent(layer) if "%" in t else None, _unicode(layer) if "\\" in t else None) if x is not None]
         inner, no = _base64(layer, budget)
-        refused.update(layer.span(*s) for s in no)
-        for x in [*new, *inner]:
+        more, also = _escaped(layer, budget)
+        refused.update(layer.span(*s) for s in (*no, *also))
+        for x in [*new, *inner, *more]:
             if not x.text:
                 continue
             # the same content for the same place again: a cycle, or two ways to one layer

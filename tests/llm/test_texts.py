@@ -1,8 +1,11 @@
 """Operators on single texts, held against plain Python."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import json
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -10,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -130,6 +134,33 @@ def test_secrets_in_layers(wrap):
     assert not [s for s in secrets.all_spans(clean) if s[1] in ("access", "assign")]
 
 
+def zst(data):
+    return zstandard.ZstdCompressor().compress(data)
+
+
+def every(form):
+    return lambda data: "".join(form % b for b in data)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zst, lambda d: zst(gzip.compress(d))])
+@pytest.mark.parametrize("write", [every("%%%02X"), every("%%%02x"), every("\\x%02x"), every("\\u%04X"), every("\\U%08x"), every("\\u{%x}"), urllib.parse.quote, lambda d: repr(d)[2:-1], lambda d: json.dumps(d.decode("latin-1"))[1:-1]])
+def test_compressed_bytes_in_escapes(pack, write):
+    inner = write(pack(f"key {KEY} and {ASSIGN} so".encode()))
+    text = f"élan {inner} tail"
+    at, to = text.index(inner), text.index(inner) + len(inner)
+    spans = [s for s in secrets.all_spans(text) if s[1] != "hex"]
+    assert {k for _, k, _ in spans} == {"access", "assign"}
+    assert all(at <= a < b <= to for a, _, b in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zst])
+@pytest.mark.parametrize("write", [b64, every("%%%02X")])
+def test_later_members(pack, write):
+    inside = f"key {KEY} so".encode()
+    for parts in ([pack(b"first"), pack(inside)], [pack(b"first"), pack(inside[:9]), pack(inside[9:])], [pack(b"first"), pack(gzip.compress(inside))]):
+        assert "access" in {k for _, k, _ in secrets.all_spans(f"x {write(b''.join(parts))} y")}
+
+
 def test_secret_span_maps_to_its_characters():
     text = "".join(f"%{b:02X}" for b in b"x " + KEY.encode() + b" y")
     assert (6, "access", 6 + 3 * len(KEY)) in secrets.all_spans(text)
