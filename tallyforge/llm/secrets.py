@@ -19,7 +19,6 @@ empty table gives an empty result; other columns are ignored, under whatever nam
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -67,7 +66,14 @@ def _magic(mark: str, forms: str) -> re.Pattern:
 _PERCENT_BYTE = r"%([0-9A-Fa-f]{2})|([^\x00-\U0010ffff])|([!-$&-~])"
 _ESCAPED_BYTE = r"""\\(?:x|u00|U000000|u(?=\{0{0,4}[0-9A-Fa-f]{1,2}\}))([0-9A-Fa-f]{2}|\{[0-9A-Fa-f]+\})|\\([abtnvfr0\\'"/])|([\x20-\[\]-~])"""
 _BYTES = [(mark, _magic(mark, forms), re.compile(f"(?:{byte})+"), re.compile(byte)) for mark, forms, byte in (("%", "%@@", _PERCENT_BYTE), ("\\", r"\\x@@|\\u00@@|\\U000000@@|\\u\{0*@\}", _ESCAPED_BYTE))]
-_ODD = re.compile(r"[^\t\n\r\x20-\x7e\x85\xa0-\ud7ff\ue000-\U0010ffff]")
+#: Such runs line below line, as text or with escaped line ends; the lines of those.
+_BREAK = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]+)+={0,2}" % (MIN_BASE64, _BREAK))
+_LINE = re.compile(rf"(?:{_BREAK})?([A-Za-z0-9+/_-]+={{0,2}})")
+_STANDARD = {45: 43, 95: 47}
+_COMPRESSED = re.compile(b"|".join(map(re.escape, _MAGICS)))
+#: What decoded bytes must hold somewhere for a pattern to match them or a layer to lie in them.
+_WORTH = re.compile(rb"[A-Za-z0-9+/_-]{%d}|%%[0-9A-Fa-f]{2}|\\[xuU]|(?i:passw|secret|token|api_?key)" % MIN_BASE64)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -114,15 +120,11 @@ def _from_units(layer: Layer, pieces: list[tuple[str, int, int]]) -> Layer:
     return Layer("".join(t for t, _, _ in pieces), np.concatenate(firsts or [none]), np.concatenate(lasts or [none]))
 
 
-def _chars(data: bytes) -> list[tuple[str, int, int]] | None:
-    """(character, first byte, end byte) of UTF-8 data; None if it is none."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
+def _chars(data: bytes) -> list[tuple[str, int, int]]:
+    """(character, first byte, end byte) of UTF-8 data; a byte that is none is a character of its own."""
     out, at = [], 0
-    for c in text:
-        n = len(c.encode())
+    for c in data.decode("utf-8", "surrogateescape"):
+        n = len(c.encode("utf-8", "surrogateescape"))
         out.append((c, at, at + n))
         at += n
     return out
@@ -132,8 +134,6 @@ def _percent(layer: Layer) -> Layer | None:
     pieces, at, t = [], 0, layer.text
     for m in _PERCENT.finditer(t):
         chars = _chars(bytes.fromhex(m[0].replace("%", "")))
-        if chars is None:
-            continue
         pieces.append((t[at : m.start()], at, m.start()))
         pieces += [(c, m.start() + 3 * i, m.start() + 3 * j) for c, i, j in chars]
         at = m.end()
@@ -271,37 +271,51 @@ def _whole(layer: Layer, text: str, a: int, b: int) -> Layer:
 
 
 def _base64(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[int, int]]]:
-    """Layers for each run that decodes to text or to compressed text; places not unpacked."""
-    out, refused = [], []
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        body = run.translate({45: 43, 95: 47})
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        a = m.start()
-        try:
-            if (got := _opened(data, 0, budget)) is not None:
-                out += [_whole(layer, x.decode("utf-8", "replace"), a, m.end()) for x in (*got[0], data[got[1] :])]
-        except OverflowError:
-            refused.append(m.span())
-            continue
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if not text or _ODD.search(text):
-            continue
-        sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        sizes = 1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)
-        to = np.cumsum(sizes)
-        f, e = a + (to - sizes) * 4 // 3, np.minimum(a + -(-to * 4 // 3), m.end())
-        if layer.first is not None and len(text):
-            f, e = layer.first[f], layer.last[e - 1]
-        if text:
+    """Layers for what each run decodes to, from each of four alignments, and for what is
+    compressed in there; places not unpacked. Runs over several lines are tried as one, too.
+    """
+    out, refused, t = [], [], layer.text
+    runs = [(m[0], m.start(), None) for m in _BASE64.finditer(t)]
+    for m in _WRAPPED.finditer(t):
+        lines = [*_LINE.finditer(t, m.start(), m.end())]
+        at = np.concatenate([np.arange(x.start(1), x.end(1)) for x in lines])
+        runs.append(("".join(x[1] for x in lines), m.start(), at))
+    for run, start, at in runs:
+        body, to = run.rstrip("=").translate(_STANDARD), len(run)
+        # where a run's characters are in the layer
+        place = (lambda i, start=start: start + i) if at is None else at.__getitem__
+        a, b = start, int(place(to - 1)) + 1
+        for skip in range(4):
+            part = body[skip:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            if len(part) < 2:
+                continue
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            done = 0
+            for m in _COMPRESSED.finditer(data):
+                if m.start() < done:
+                    continue
+                try:
+                    if (got := _opened(data, m.start(), budget)) is not None:
+                        done = got[1]
+                        out += [_whole(layer, x.decode("utf-8", "replace"), a, b) for x in got[0] if _WORTH.search(x)]
+                except OverflowError:
+                    refused.append((a, b))
+                    break
+            if not _WORTH.search(data):
+                continue
+            # a byte that is not UTF-8 is one character, and nothing else is lost for it
+            text = data.decode("utf-8", "surrogateescape")
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            sizes = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+            sizes[(points >= 0xDC80) & (points < 0xDD00)] = 1
+            ends = np.cumsum(sizes)
+            f = place(skip + (ends - sizes) * 4 // 3)
+            e = place(np.minimum(skip + -(-ends * 4 // 3), len(body)) - 1) + 1
+            # the padding belongs to the last character
+            e[-1] = max(e[-1], b) if skip + -(-int(ends[-1]) * 4 // 3) >= len(body) else e[-1]
+            if layer.first is not None:
+                f, e = layer.first[f], layer.last[e - 1]
             out.append(Layer(text, f, e))
     return out, refused
 

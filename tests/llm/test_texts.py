@@ -161,6 +161,33 @@ def test_later_members(pack, write):
         assert "access" in {k for _, k, _ in secrets.all_spans(f"x {write(b''.join(parts))} y")}
 
 
+NOISE = b"".join(hashlib.sha256(b"%d" % k).digest() for k in range(120))
+
+
+@pytest.mark.parametrize("data", [f"key {KEY} and {ASSIGN} so".encode() * 3, gzip.compress(NOISE + f" {KEY} {ASSIGN} ".encode()), b"A=1\0KEY=" + KEY.encode() + b"\0" + ASSIGN.encode() + b"\0", b"\xff\xfe " + KEY.encode() + b" " + ASSIGN.encode() + b" \x80", "é".encode() * 40 + f" {KEY} {ASSIGN}".encode()])
+@pytest.mark.parametrize("width", [None, 20, 64, 76])
+@pytest.mark.parametrize("before", ["", "https://h.io/x/", "a-", "ab_", "abc+", "n: "])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\n  "])
+def test_base64_forms(data, width, before, end):
+    code = b64(data)
+    inner = end.join(code[k : k + (width or len(code))] for k in range(0, len(code), width or len(code)))
+    text = f"élan {before}{inner} tail"
+    spans = [s for s in secrets.all_spans(text) if s[1] != "hex"]
+    assert {"access", "assign"} <= {k for _, k, _ in spans}
+    assert all(5 <= a < b <= len(text) - 5 for a, _, b in spans)
+
+
+def test_percent_run_with_other_bytes():
+    assert "access" in {k for _, k, _ in secrets.all_spans(every("%%%02X")(b"\xff\0" + KEY.encode() + b"\xfe"))}
+
+
+def test_base64_span_maps_to_its_characters():
+    data = b"\xff\xfe\0" + KEY.encode() + b"\0\0"
+    assert [(a, b) for a, k, b in secrets.all_spans(f"io/x/{b64(data)}") if k == "access"] == [(9, 41)]
+    code = b64(data)
+    assert [(a, b) for a, k, b in secrets.all_spans(f"{code[:20]}\n{code[20:]}") if k == "access"] == [(4, 37)]
+
+
 def test_secret_span_maps_to_its_characters():
     text = "".join(f"%{b:02X}" for b in b"x " + KEY.encode() + b" y")
     assert (6, "access", 6 + 3 * len(KEY)) in secrets.all_spans(text)
