@@ -225,7 +225,7 @@ def _opened(data, at: int, budget: list[int]) -> tuple[list[bytes], int] | None:
     return out, first[1]
 
 
-def _escaped(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[int, int]]]:
+def _escaped(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer], list[tuple[int, int]]]:
     """Layers for compressed bytes written as escapes, and as plain characters between those; places not unpacked."""
     out, refused, t = [], [], layer.text
     for mark, magic, run, token in _BYTES:
@@ -241,15 +241,23 @@ def _escaped(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[i
                 tokens = [*token.finditer(t, start, end)]
                 data = bytes(_byte(x) for x in tokens)
                 at = np.fromiter((x.start() for x in tokens), np.int64, len(tokens))
+                own = hashlib.sha256(data).digest()
             k = int(np.searchsorted(at, a))
+            key = (own, a - start, end - a, *layer.span(a, end))
+            if key in tried:
+                done = a + tried[key]
+                continue
+            tried[key] = 0
             try:
                 if k == len(at) or at[k] != a or (got := _opened(data, k, budget)) is None:
                     continue
             except OverflowError:
                 refused.append((a, end))
                 done = end
+                tried[key] = done - a
                 continue
             done = int(at[got[1]]) if got[1] < len(at) else end
+            tried[key] = done - a
             if not layer.text[a:done].isascii() or mark not in t[a:done]:
                 continue
             out += [_whole(layer, x.decode("utf-8", "replace"), a, done) for x in got[0]]
@@ -270,7 +278,7 @@ def _whole(layer: Layer, text: str, a: int, b: int) -> Layer:
     return Layer(text, f, e)
 
 
-def _base64(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[int, int]]]:
+def _base64(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer], list[tuple[int, int]]]:
     """Layers for what each run decodes to, from each of four alignments, and for what is
     compressed in there; places not unpacked. Runs over several lines are tried as one, too.
     """
@@ -285,6 +293,10 @@ def _base64(layer: Layer, budget: list[int]) -> tuple[list[Layer], list[tuple[in
         # where a run's characters are in the layer
         place = (lambda i, start=start: start + i) if at is None else at.__getitem__
         a, b = start, int(place(to - 1)) + 1
+        key = (run, *layer.span(a, b))
+        if key in tried:
+            continue
+        tried[key] = 0
         for skip in range(4):
             part = body[skip:]
             part = part[: len(part) - (len(part) % 4 == 1)]
@@ -325,13 +337,15 @@ def all_spans(text: str, most: int = MAX_UNPACKED) -> list[tuple[int, str, int]]
     found = {(a, k, b) for a, k, b in base_spans(text)}
     refused: set[tuple[int, int]] = set()
     budget = [most]
+    # runs by content and place, so that one that several layers show is opened and charged once
+    tried: dict[tuple, int] = {}
     work, seen = [Layer(text)], set()
     while work:
         layer = work.pop()
         t = layer.text
         new = [x for x in (_percent(layer) if "%" in t else None, _unicode(layer) if "\\" in t else None) if x is not None]
-        inner, no = _base64(layer, budget)
-        more, also = _escaped(layer, budget)
+        inner, no = _base64(layer, budget, tried)
+        more, also = _escaped(layer, budget, tried)
         refused.update(layer.span(*s) for s in (*no, *also))
         for x in [*new, *inner, *more]:
             if not x.text:

@@ -188,6 +188,13 @@ def test_base64_span_maps_to_its_characters():
     assert [(a, b) for a, k, b in secrets.all_spans(f"{code[:20]}\n{code[20:]}") if k == "access"] == [(4, 37)]
 
 
+@pytest.mark.parametrize("write", [b64, every("%%%02X"), every("\\x%02x")])
+def test_a_run_in_several_layers_is_charged_once(write):
+    data = b"- " * 5000 + KEY.encode()
+    text = f"%41 \\u0041 %2541 \\u005cu0041 {write(gzip.compress(data))}\n."
+    assert {k for _, k, _ in secrets.all_spans(text, most=len(data))} == {"access"}
+
+
 def test_secret_span_maps_to_its_characters():
     text = "".join(f"%{b:02X}" for b in b"x " + KEY.encode() + b" y")
     assert (6, "access", 6 + 3 * len(KEY)) in secrets.all_spans(text)
