@@ -83,32 +83,46 @@ def test_components(spark):
     assert graph.connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def plain_removed(texts):
+def plain_removed(texts, names):
     n, count = repeats.LENGTH, Counter()
     data = [(t or "").encode() for t in texts]
+    held = {}
+    for b, name in zip(data, names, strict=True):
+        for i in range(len(b) - repeats.PASSAGE + 1):
+            held.setdefault(b[i : i + repeats.PASSAGE], set()).add(name)
     for b in data:
         count.update(b[i : i + n] for i in range(len(b) - n + 1))
     out = []
     for b in data:
+        told = np.zeros(len(b), bool)
+        for i in range(len(b) - repeats.PASSAGE + 1):
+            if len(held[b[i : i + repeats.PASSAGE]]) > 1:
+                told[i : i + repeats.PASSAGE] = True
+        passages = sum(len(b[i:j].split()) > repeats.WORDS for i, j in repeats.runs(told))
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - n + 1):
             if count[b[i : i + n]] > 1:
                 gone[i : i + n] = True
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out.append((len(b), int(gone.sum()), len(repeats.runs(gone)), hashlib.sha256(kept).hexdigest()))
+        out.append((len(b), int(gone.sum()), len(repeats.runs(gone)), hashlib.sha256(kept).hexdigest(), passages, passages > 0))
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
-def test_repeats(spark, tmp_path, monkeypatch, rows, hot):
+@pytest.mark.parametrize(("hot", "shard"), [(repeats.HOT, repeats.SHARD), (repeats.HOT, 7), (2, 16)])
+def test_repeats(spark, tmp_path, monkeypatch, rows, hot, shard):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    monkeypatch.setattr(repeats, "BUCKET", 4 * shard)
     rnd = random.Random(5)
     base = "".join(rnd.choice("abcd é") for _ in range(3000))
     texts = [base[:1500], base[700:1200] + "x" + base[1201:2500], "a" * 1500, "zz" + "a" * 401, base[100:499], base[100:501], base[2000:] * 2, "q" * 399, "ab" * 300, base[:600] + "Q" * 50 + base[600:1200]]
     texts += ["".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 300))) + base[rnd.randint(0, 2000) :][: rnd.randint(300, 900)] + "".join(rnd.choice("xyz") for _ in range(200)) for _ in range(30)]
-    all_rows = [(r[0], r[1] if r[1] is None or len(r[1]) < 10_000 else r[1][:5000]) for r in rows] + list(enumerate(texts, 1000))
+    passage = prose(40, 60)
+    texts += [prose(41, 30) + " " + passage + prose(42, 20), prose(43, 9) + " " + passage, (prose(44, 45) + " ") * 3]
+    texts.append(texts[-1][:-1])
+    all_rows = [(r[0], r[1] if r[1] is None or len(r[1]) < 10_000 else r[1][:5000]) for r in rows] + list(enumerate(texts, 1000)) + [(1000, texts[0])]
     spark.createDataFrame(all_rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = sorted(((d, *x) for (d, _), x in zip(all_rows, plain_removed([t for _, t in all_rows]), strict=True)), key=key)
+    want = sorted(((d, *x) for (d, _), x in zip(all_rows, plain_removed([t for _, t in all_rows], all_rows), strict=True)), key=key)
     assert collected(repeats.op5_repeats(spark, str(tmp_path))) == want
 
 
