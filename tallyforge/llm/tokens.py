@@ -93,7 +93,7 @@ def encode_words(path: str, words: list[str], dtype: np.dtype) -> list[bytes]:
     """
     t, ends = tokenizer(path), _word_ends(path)
     out: list[bytes | None] = [None] * len(words)
-    plain = [k for k, w in enumerate(words) if _SINGLE.fullmatch(w)]
+    plain = [k for k, w in enumerate(words) if (w.isalpha() and w.isascii()) or _SINGLE.fullmatch(w)]
     groups = [plain[at : at + 512] for at in range(0, len(plain), 512)]
     for at in range(0, len(groups), 8):
         some = groups[at : at + 8]
@@ -114,35 +114,63 @@ def encode_words(path: str, words: list[str], dtype: np.dtype) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts, keeping chunks and words seen before. Caches are emptied when full."""
+    """Encodes texts, keeping chunks and words seen before.
 
-    def __init__(self, path: str, most_chunks: int = 350_000, most_words: int = 700_000):
+    Texts are taken STEP characters at a time, so that what is new in many goes to the library
+    together. A full cache of chunks keeps those of the texts at hand; words are emptied when full.
+    """
+
+    STEP = 1 << 13
+
+    def __init__(self, path: str, most_chunks: int = 500_000, most_words: int = 900_000):
         self.path, self.dtype = path, id_type(vocabulary_size(path))
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.most = most_chunks, most_words
 
     def _learn(self, missing: list[str]) -> None:
-        split = {c: _WORDS.findall(c.lower()) if SPECIAL not in c and _SAFE.fullmatch(c) else [c] for c in missing}
-        new = list({w for ws in split.values() for w in ws}.difference(self.words))
+        one, split = {}, {}
+        for c in missing:
+            if c.isalpha() and c.isascii():
+                one[c] = c.lower()
+            elif SPECIAL not in c and _SAFE.fullmatch(c):
+                split[c] = _WORDS.findall(c.lower())
+            else:
+                one[c] = c
+        wanted = {*one.values()}
+        wanted.update(*split.values())
+        new = [*wanted.difference(self.words)]
         if len(self.words) + len(new) > self.most[1]:
             self.words.clear()
-            new = list({w for ws in split.values() for w in ws})
-        self.words.update(zip(new, encode_words(self.path, new, self.dtype), strict=True))
+            new = [*wanted]
+        words = self.words
+        words.update(zip(new, encode_words(self.path, new, self.dtype), strict=True))
+        self.chunks.update(zip(one, map(words.__getitem__, one.values()), strict=True))
         for c, ws in split.items():
-            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(self.words.__getitem__, ws))
+            self.chunks[c] = b"".join(map(words.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
         for text in texts:
-            parts = chunks_of(text)
-            missing = [c for c in {*parts} if c not in self.chunks]
-            if missing:
-                self._learn(missing)
-            out.append(b"".join(map(self.chunks.__getitem__, parts)))
-            if len(self.chunks) > self.most[0]:
-                self.chunks.clear()
-        return out
+            held.append(chunks_of(text))
+            size += len(text)
+            if size >= self.STEP:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        every: set[str] = set()
+        every.update(*texts)
+        missing = [*every.difference(self.chunks)]
+        if len(self.chunks) + len(missing) > self.most[0]:
+            self.chunks = {c: self.chunks[c] for c in every.intersection(self.chunks)}
+        if missing:
+            self._learn(missing)
+        find = self.chunks.__getitem__
+        return [b"".join(map(find, parts)) for parts in texts]
 
 
 _encoders: dict[str, Encoder] = {}
