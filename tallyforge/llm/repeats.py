@@ -24,8 +24,9 @@ bytes which also stand in another document.
    with a common prefix of LENGTH (PASSAGE) or more are repeated intervals.
 5. An anchor with more than HOT kinds would fill a bucket. Its strings are grouped in two
    steps instead, with partial counts in each task: by the digest of the core that 16
-   neighbouring strings have in common, then, where a core stands twice or more, by the 15
-   bytes around it. Both ways are exact and find the same.
+   neighbouring strings have in common with the 15 bytes on its sides, then, where a core has
+   several surroundings, by the part of those that each string holds. Both ways are exact and
+   find the same.
 
 Defined results: null text is an empty text; a text shorter than LENGTH is kept whole; texts of
 any length are handled in segments; rows that repeat an id are documents of their own, and
@@ -51,11 +52,12 @@ LENGTH, PASSAGE, GRAM = 400, 240, 48
 WORDS = 50
 BEFORE = LENGTH - GRAM
 WIDTH = BEFORE + LENGTH
-HOT = 4096
-#: Fragments of a shard at most, and of a bucket on average.
-SHARD, BUCKET = 16_384, 8192
+#: Fragments of a shard at most, of a bucket on average, and of an anchor in a bucket at most.
+SHARD, BUCKET, HOT = 16_384, 8192, 8192
 #: Neighbouring strings whose core is counted first.
 CORE = 16
+#: The symbol of columns that are no part of a fragment; the last in order.
+OUTSIDE = 256
 _SEGMENT = 4 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -69,14 +71,14 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts.append((p + lo, h))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, object)
+        return none, none, np.zeros((0, 2), np.int64)
     p, h = (np.concatenate(x) for x in zip(*parts, strict=True))
     p, first = np.unique(p, return_index=True)
-    digests = np.empty(len(p), object)
-    for k, at in enumerate(p.tolist()):
+    digests = []
+    for at in p.tolist():
         lo = max(0, at - BEFORE)
-        digests[k] = hashlib.blake2b(data[lo : at + LENGTH] + (at - lo).to_bytes(2, "little"), digest_size=16).digest()
-    return p, h[first].view(np.int64), digests
+        digests.append(hashlib.blake2b(data[lo : at + LENGTH] + (at - lo).to_bytes(2, "little"), digest_size=16).digest())
+    return p, h[first].view(np.int64), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
 def _segment(buf: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,18 +118,29 @@ def transform(group: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.n
     are no part of it and sort last.
     """
     m = len(group)
-    out = np.zeros((WIDTH, m), np.uint8)
     order, rank = np.arange(m), _ranks(group)
-    columns = np.ascontiguousarray(rows.T)
+    columns = rows.T.astype(np.uint16)
+    d = np.arange(WIDTH)[:, None]
+    columns[(d < first) | (d >= last)] = OUTSIDE
+    out = np.empty((WIDTH, m), np.uint16)
     for d in range(WIDTH - 1, -1, -1):
         out[d] = columns[d][order]
-        symbol = out[d].astype(np.uint16)
-        symbol[(d < first[order]) | (d >= last[order])] = 256
-        order = order[_dealt(rank, symbol)]
+        order = order[_dealt(rank, out[d])]
     return out
 
 
-def merged(group: np.ndarray, shard: np.ndarray, transforms: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _to_bytes(made: np.ndarray) -> bytes:
+    """Symbols as bytes, with a bit for each that is outside."""
+    return made.astype(np.uint8).tobytes() + np.packbits(made == OUTSIDE, axis=1).tobytes()
+
+
+def _from_bytes(data: bytes, m: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, WIDTH * m).reshape(WIDTH, m).astype(np.uint16)
+    out[np.unpackbits(np.frombuffer(data, np.uint8, offset=WIDTH * m).reshape(WIDTH, -1), axis=1, count=m).view(bool)] = OUTSIDE
+    return out
+
+
+def merged(group: np.ndarray, shard: np.ndarray, transforms: np.ndarray, doc: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which columns 0..BEFORE of each fragment begin a repeated string: (of LENGTH, of PASSAGE in another document).
 
     Fragments are given shard after shard, in the order of each shard's transform (group by
@@ -144,12 +157,10 @@ def merged(group: np.ndarray, shard: np.ndarray, transforms: np.ndarray, first:
     for d in range(WIDTH - 1, -1, -1):
         # each shard's symbols, in its own order, go to its places in the interleave
         symbol[np.argsort(shard[order], kind="stable")] = transforms[d]
-        outside = (d < first[order]) | (d >= last[order])
-        symbol[outside] = 256
         move = _dealt(rank, symbol)
         new = np.zeros(m, np.int32)
         dealt = symbol[move]
-        k = np.flatnonzero((dealt[1:] == dealt[:-1]) & (rank[1:] == rank[:-1]) & (dealt[1:] < 256)) + 1
+        k = np.flatnonzero((dealt[1:] == dealt[:-1]) & (rank[1:] == rank[:-1]) & (dealt[1:] < OUTSIDE)) + 1
         if len(k):
             ends = np.empty(2 * len(k), np.int64)
             ends[::2], ends[1::2] = move[k - 1] + 1, move[k] + 1
@@ -207,7 +218,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if cols:
                 p, h, f, size = (np.concatenate(x) for x in zip(*cols, strict=True))
                 take = pa.array(np.repeat(long, n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(p, pa.int64()), pa.array(h), pa.array(f, pa.binary()), pa.array(size, pa.int32())], ["doc_id", "th", "pos", "h", "f", "size"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(p, pa.int64()), pa.array(h), *map(pa.array, f.T.copy()), pa.array(size, pa.int32())], ["doc_id", "th", "pos", "h", "f", "g", "size"])
 
 
 def cores(data: bytes, pos: int, h: int) -> Iterator[tuple[bytes, int, bytes, bytes, int]]:
@@ -228,9 +239,9 @@ def cores(data: bytes, pos: int, h: int) -> Iterator[tuple[bytes, int, bytes, by
 
 def _cut(buckets: int, kind: pa.DataType):
     """The fragments that documents are asked for, as a shard's transforms by bucket; of hot anchors, the cores."""
-    lists = [pa.list_(t) for t in (pa.int64(), kind, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
+    lists = [pa.list_(t) for t in (pa.int64(), kind, pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]
     kinds = [pa.int32(), *lists, pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), kind, pa.int64(), pa.bool_(), pa.bool_()]
-    names = ["bucket", "h", "docs", "ths", "pos", "left", "size", "singles", "wides", "transform", "core", "length", "before", "after", "start", "doc_id", "th", "single", "wide"]
+    names = ["bucket", "h", "docs", "ths", "pos", "singles", "wides", "transform", "core", "length", "before", "after", "start", "doc_id", "th", "single", "wide"]
 
     def none(n: int, which: slice) -> list[pa.Array]:
         return [pa.nulls(n, k) for k in kinds[which]]
@@ -246,9 +257,9 @@ def _cut(buckets: int, kind: pa.DataType):
         made = transform(h, rows, first, first + size)
         bucket = h % buckets
         at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]])
-        listed = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, t.value_type)) for v, t in zip((h, docs, ths, pos, left, size, single, wide), lists, strict=True)]
-        body = pa.array([np.ascontiguousarray(made[:, a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), *listed, body, *none(len(at) - 1, slice(10, None))], names)
+        listed = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, t.value_type)) for v, t in zip((h, docs, ths, pos, single, wide), lists, strict=True)]
+        body = pa.array([_to_bytes(made[:, a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), *listed, body, *none(len(at) - 1, slice(8, None))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -268,10 +279,10 @@ def _cut(buckets: int, kind: pa.DataType):
                         yield shard(held)
                         held = []
                     if len(hot) >= 1 << 17:
-                        yield pa.RecordBatch.from_arrays([*none(len(hot), slice(0, 10)), *(pa.array(c, k) for c, k in zip(zip(*hot, strict=True), kinds[10:], strict=True))], names)
+                        yield pa.RecordBatch.from_arrays([*none(len(hot), slice(0, 8)), *(pa.array(c, k) for c, k in zip(zip(*hot, strict=True), kinds[8:], strict=True))], names)
                         hot = []
                 if hot:
-                    yield pa.RecordBatch.from_arrays([*none(len(hot), slice(0, 10)), *(pa.array(c, k) for c, k in zip(zip(*hot, strict=True), kinds[10:], strict=True))], names)
+                    yield pa.RecordBatch.from_arrays([*none(len(hot), slice(0, 8)), *(pa.array(c, k) for c, k in zip(zip(*hot, strict=True), kinds[8:], strict=True))], names)
         if held:
             yield shard(held)
 
@@ -296,14 +307,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_bucket(t: pa.Table) -> pa.RecordBatch:
-    flat = {c: t.column(c).combine_chunks().flatten() for c in ("h", "docs", "ths", "pos", "left", "size", "singles", "wides")}
+    flat = {c: t.column(c).combine_chunks().flatten() for c in ("h", "docs", "ths", "pos", "singles", "wides")}
     sizes = np.asarray(t.column("h").combine_chunks().value_lengths())
-    transforms = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(WIDTH, n) for x, n in zip(t.column("transform"), sizes.tolist(), strict=True)], axis=1)
-    pos, first = np.asarray(flat["pos"]), BEFORE - np.asarray(flat["left"])
+    transforms = np.concatenate([_from_bytes(x.as_py(), n) for x, n in zip(t.column("transform"), sizes.tolist(), strict=True)], axis=1)
+    pos = np.asarray(flat["pos"])
     singles, wides = (flat[c].to_numpy(zero_copy_only=False) for c in ("singles", "wides"))
     ids = flat["docs"].dictionary_encode(null_encoding="encode").indices.to_numpy()
     doc = np.unique(np.stack([ids, np.asarray(flat["ths"])]), axis=1, return_inverse=True)[1].ravel()
-    whole, cross = merged(np.asarray(flat["h"]), np.repeat(np.arange(len(sizes)), sizes), transforms, first, first + np.asarray(flat["size"]), doc, wides)
+    whole, cross = merged(np.asarray(flat["h"]), np.repeat(np.arange(len(sizes)), sizes), transforms, doc, wides)
     # fragments that stand twice are known to be repeated whole, and those in several documents to be shared
     whole[~singles] = False
     cross[wides] = False
@@ -317,19 +328,29 @@ def _merge_bucket(t: pa.Table) -> pa.RecordBatch:
 
 
 def _of_hot(cut: DataFrame) -> DataFrame:
-    """Repeated spans of hot anchors' strings, from cores that stand twice and the bytes around them."""
-    around = CORE - 1
+    """Repeated spans of hot anchors' strings, from their cores and the bytes around those."""
+    around, one, key = CORE - 1, F.struct("doc_id", "th"), ["core", "before", "after"]
     hot = cut.where("core IS NOT NULL").select("core", "length", "before", "after", "start", "doc_id", "th", "single", "wide")
-    # grouped sides are written: a join straight from tables is one whose hot keys Spark can split
-    twice = written(hot.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
-    strings = hot.join(twice, "core").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(around)))).where(f"k <= length(before) AND {around} - k <= length(after)")
-    keyed = written(strings.select("core", "k", F.expr("substring(before, length(before) - k + 1, k)").alias("l"), F.expr(f"substring(after, 1, {around} - k)").alias("r"), "length", (F.col("start") - F.col("k")).alias("lo"), "doc_id", "th", "single", "wide"), "strings")
-    one = F.struct("doc_id", "th")
+    # cores with equal bytes around them have all their strings in common; grouped sides are
+    # written, since a join straight from tables is one whose hot keys Spark can split
+    place = F.struct("doc_id", "th", "length", "start", "single", "wide")
+    grouped = hot.groupBy(key).agg(F.count("*").alias("n"), F.min(one).alias("low"), F.max(one).alias("high"), F.max("wide").alias("any_wide"), F.min(place).alias("at"))
+    several = (F.col("n") > 1) & (F.col("any_wide") | ~F.col("low").eqNullSafe(F.col("high")))
+    alike = written(grouped.withColumn("several", several), "cores")
+    span = lambda lo, hi, long, shared: [lo.alias("lo"), hi.alias("hi"), F.expr(long).alias("long"), F.expr(shared).alias("shared")]
+    long, shared = f"length = {LENGTH} AND single", f"length = {PASSAGE} AND several AND NOT wide"
+    whole = hot.where(f"length(before) + length(after) >= {around}").join(alike.where("n > 1").select(*key, "several"), key)
+    first = whole.select("doc_id", "th", *span(F.col("start") - F.length("before"), F.col("start") + F.col("length") - around + F.length("after"), long, shared))
+    # strings of cores that stand in different surroundings
+    mixed = written(alike.groupBy("core").agg(F.count("*").alias("m"), F.min("several").alias("done")).where("m > 1 AND NOT done").select("core"), "mixed-cores")
+    strings = alike.join(mixed, "core").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(around)))).where(f"k <= length(before) AND {around} - k <= length(after)")
+    keyed = written(strings.select("core", "k", F.expr("substring(before, length(before) - k + 1, k)").alias("l"), F.expr(f"substring(after, 1, {around} - k)").alias("r"), "n", "low", "high", "any_wide", F.col("several").alias("known"), "at"), "strings")
     key = ["core", "k", "l", "r"]
-    same = keyed.groupBy(key).agg(F.count("*").alias("n"), (~F.min(one).eqNullSafe(F.max(one)) | F.max("wide")).alias("several")).where("n > 1").drop("n")
-    found = keyed.join(written(same, "equal-strings"), key)
-    wanted = found.where(f"(length = {LENGTH} AND single) OR (length = {PASSAGE} AND several AND NOT wide)")
-    return wanted.select("doc_id", "th", "lo", (F.col("lo") + F.col("length")).alias("hi"), (F.col("length") == LENGTH).alias("long"), (F.col("length") == PASSAGE).alias("shared"))
+    same = keyed.groupBy(key).agg(F.count("*").alias("m"), (F.max("any_wide") | ~F.min("low").eqNullSafe(F.max("high"))).alias("several")).where("m > 1").drop("m")
+    found = keyed.where("n = 1 OR NOT known").join(written(same, "equal-strings"), key).select("at.*", "k", "several", "n", "known")
+    start = F.col("start") - F.col("k")
+    second = found.select("doc_id", "th", *span(start, start + F.col("length"), f"{long} AND n = 1", f"{shared} AND NOT known"))
+    return first.unionByName(second).where("long OR shared")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -339,16 +360,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = written(docs.mapInArrow(_find_anchors, f"doc_id {kind}, th long, pos long, h long, f binary, size int"), "anchors")
+    every = written(docs.mapInArrow(_find_anchors, f"doc_id {kind}, th long, pos long, h long, f long, g long, size int"), "anchors")
     # grouped sides are written first: a join straight from tables is one whose hot keys Spark can split
     shared = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     several = written(every.join(shared, "h"), "shared-anchors")
     one = F.struct("doc_id", "th", "pos")
-    grouped = several.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.max(one).alias("other"))
+    grouped = several.groupBy("h", "f", "g").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.max(one).alias("other"))
     wide = ~F.col("one.doc_id").eqNullSafe(F.col("other.doc_id")) | (F.col("one.th") != F.col("other.th"))
-    kinds = written(grouped.select("h", "f", "n", "one", wide.alias("wide")), "kinds")
+    kinds = written(grouped.select("h", "f", "g", "n", "one", wide.alias("wide")), "kinds")
     lo = F.greatest(F.col("pos") - BEFORE, F.lit(0))
-    copied = several.join(kinds.where("n > 1").select("h", "f", "wide"), ["h", "f"]).select("doc_id", "th", lo.alias("lo"), (lo + F.col("size")).alias("hi"), (F.col("size") >= LENGTH).alias("long"), F.col("wide").alias("shared"))
+    copied = several.join(kinds.where("n > 1").select("h", "f", "g", "wide"), ["h", "f", "g"]).select("doc_id", "th", lo.alias("lo"), (lo + F.col("size")).alias("hi"), (F.col("size") >= LENGTH).alias("long"), F.col("wide").alias("shared"))
     by_anchor = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("wide").alias("all_wide")).where("kinds > 1 AND NOT all_wide"), "open-anchors")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = by_anchor.where(F.col("kinds") <= HOT).agg(F.sum("kinds")).first()[0] or 0
@@ -357,10 +378,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = open_.groupBy(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th")).agg(F.collect_list("x").alias("asked"))
     # rows equal in id and text give their fragments twice; none of those is single, and they are one document
     with_text = docs.join(asked, docs["doc_id"].eqNullSafe(asked["a_id"]) & (docs["th"] == asked["a_th"])).select("doc_id", "th", "text", "asked")
-    of_shard = f"bucket int, h array<long>, docs array<{kind}>, ths array<long>, pos array<long>, left array<int>, size array<int>, singles array<boolean>, wides array<boolean>, transform binary"
+    of_shard = f"bucket int, h array<long>, docs array<{kind}>, ths array<long>, pos array<long>, singles array<boolean>, wides array<boolean>, transform binary"
     of_core = f"core binary, length int, before binary, after binary, start long, doc_id {kind}, th long, single boolean, wide boolean"
     cut = written(with_text.mapInArrow(_cut(buckets, pa_type(docs)), f"{of_shard}, {of_core}"), "fragments")
-    in_buckets = cut.where("bucket IS NOT NULL").select("bucket", "h", "docs", "ths", "pos", "left", "size", "singles", "wides", "transform").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    in_buckets = cut.where("bucket IS NOT NULL").select("bucket", "h", "docs", "ths", "pos", "singles", "wides", "transform").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     of_cold = in_buckets.mapInArrow(_merge, f"doc_id {kind}, th long, lo long, hi long, long boolean, shared boolean")
     return copied.where("long OR shared").unionByName(of_cold).unionByName(_of_hot(cut))
 
