@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,12 +21,16 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    A folder of our own stands in only where the session names none (local tests).
+    A folder of our own stands in only where the session names none and runs in this one process
+    (local tests); on a cluster a missing setting is an error, since each machine would write to its own disk.
     """
     global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         kept = tempfile.TemporaryDirectory(prefix="tallyforge-")
         atexit.register(kept.cleanup)
@@ -46,13 +51,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more, and the shuffles of ended jobs.
+
+    Spark removes a shuffle's files when the driver's garbage is collected, which a driver with
+    memory to spare puts off until the disks are full.
+    """
+    context = tables[0].sparkSession.sparkContext
+    for t in tables:
+        path = context._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

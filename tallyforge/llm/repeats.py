@@ -44,10 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import only, read_table, sliced, texts_of, written
+from tallyforge.llm.common import drop_written, only, read_table, sliced, texts_of, written
 from tallyforge.llm.quality import inverse_powers_upto, mix64, prefix_hashes
 
-LENGTH, PASSAGE, GRAM = 400, 240, 48
+LENGTH, PASSAGE, GRAM = 400, 256, 32
 #: A passage has more words than this.
 WORDS = 50
 BEFORE = LENGTH - GRAM
@@ -364,26 +364,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # grouped sides are written first: a join straight from tables is one whose hot keys Spark can split
     shared = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     several = written(every.join(shared, "h"), "shared-anchors")
-    one = F.struct("doc_id", "th", "pos")
-    grouped = several.groupBy("h", "f", "g").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.max(one).alias("other"))
+    drop_written(every, shared)
+    grouped = several.groupBy("h", "f", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("one"), F.max(F.struct("doc_id", "th")).alias("other"))
     wide = ~F.col("one.doc_id").eqNullSafe(F.col("other.doc_id")) | (F.col("one.th") != F.col("other.th"))
     kinds = written(grouped.select("h", "f", "g", "n", "one", wide.alias("wide")), "kinds")
     lo = F.greatest(F.col("pos") - BEFORE, F.lit(0))
-    copied = several.join(kinds.where("n > 1").select("h", "f", "g", "wide"), ["h", "f", "g"]).select("doc_id", "th", lo.alias("lo"), (lo + F.col("size")).alias("hi"), (F.col("size") >= LENGTH).alias("long"), F.col("wide").alias("shared"))
+    twice = several.join(kinds.where("n > 1").select("h", "f", "g", "wide"), ["h", "f", "g"])
+    copied = written(twice.select("doc_id", "th", lo.alias("lo"), (lo + F.col("size")).alias("hi"), (F.col("size") >= LENGTH).alias("long"), F.col("wide").alias("shared")).where("long OR shared"), "copied")
+    drop_written(several)
     by_anchor = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("wide").alias("all_wide")).where("kinds > 1 AND NOT all_wide"), "open-anchors")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = by_anchor.where(F.col("kinds") <= HOT).agg(F.sum("kinds")).first()[0] or 0
     buckets = max(tasks, -(-total // BUCKET))
     open_ = kinds.join(by_anchor, "h").select("one.doc_id", "one.th", F.struct("h", F.col("one.pos").alias("pos"), (F.col("n") == 1).alias("single"), "wide", (F.col("kinds") > HOT).alias("hot")).alias("x"))
-    asked = open_.groupBy(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th")).agg(F.collect_list("x").alias("asked"))
+    asked = written(open_.groupBy(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th")).agg(F.collect_list("x").alias("asked")), "asked")
+    drop_written(kinds, by_anchor)
     # rows equal in id and text give their fragments twice; none of those is single, and they are one document
     with_text = docs.join(asked, docs["doc_id"].eqNullSafe(asked["a_id"]) & (docs["th"] == asked["a_th"])).select("doc_id", "th", "text", "asked")
     of_shard = f"bucket int, h array<long>, docs array<{kind}>, ths array<long>, pos array<long>, singles array<boolean>, wides array<boolean>, transform binary"
     of_core = f"core binary, length int, before binary, after binary, start long, doc_id {kind}, th long, single boolean, wide boolean"
     cut = written(with_text.mapInArrow(_cut(buckets, pa_type(docs)), f"{of_shard}, {of_core}"), "fragments")
+    drop_written(asked)
     in_buckets = cut.where("bucket IS NOT NULL").select("bucket", "h", "docs", "ths", "pos", "singles", "wides", "transform").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     of_cold = in_buckets.mapInArrow(_merge, f"doc_id {kind}, th long, lo long, hi long, long boolean, shared boolean")
-    return copied.where("long OR shared").unionByName(of_cold).unionByName(_of_hot(cut))
+    return copied.unionByName(of_cold).unionByName(_of_hot(cut))
 
 
 def pa_type(docs: DataFrame) -> pa.DataType:
@@ -419,7 +423,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, shares_passage, kept, removed, passages) of every document."""
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(rows).groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("lo", "hi", "long", "shared")).alias("spans"))
+    spans = written(repeated_spans(rows).groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("lo", "hi", "long", "shared")).alias("spans")), "repeated")
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["s_id"]) & (rows["th"] == spans["s_th"]), "left").select("doc_id", "text", "spans")
     span = "array<struct<lo: long, hi: long>>"
     return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, shares_passage boolean, kept binary, removed {span}, passages {span}")
