@@ -22,7 +22,7 @@ bytes which also stand in another document.
    and deal it out stably, which gives the interleave one column on. The common prefix of
    neighbours follows from the least one between them. No suffix is sorted again. Neighbours
    with a common prefix of LENGTH (PASSAGE) or more are repeated intervals.
-5. An anchor with more than HOT kinds would fill a bucket. Its strings are grouped in two
+5. An anchor with more than HOT kinds would not fit in a task. Its strings are grouped in two
    steps instead, with partial counts in each task: by the digest of the core that 16
    neighbouring strings have in common with the 15 bytes on its sides, then, where a core has
    several surroundings, by the part of those that each string holds. Both ways are exact and
@@ -52,8 +52,8 @@ LENGTH, PASSAGE, GRAM = 400, 256, 32
 WORDS = 50
 BEFORE = LENGTH - GRAM
 WIDTH = BEFORE + LENGTH
-#: Fragments of a shard at most, of a bucket on average, and of an anchor in a bucket at most.
-SHARD, BUCKET, HOT = 16_384, 8192, 8192
+#: Fragments of a shard at most, of a bucket on average, and of an anchor in a bucket at most (about 4 KB of memory each).
+SHARD, BUCKET, HOT = 16_384, 8192, 1 << 16
 #: Neighbouring strings whose core is counted first.
 CORE = 16
 #: The symbol of columns that are no part of a fragment; the last in order.
