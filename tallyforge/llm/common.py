@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -66,6 +67,7 @@ def drop_written(*tables: DataFrame) -> None:
     for t in tables:
         path = context._jvm.org.apache.hadoop.fs.Path(t._written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
     context._jvm.System.gc()
 
 

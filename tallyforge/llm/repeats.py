@@ -354,7 +354,7 @@ def _of_hot(cut: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, lo, hi, long, shared): byte ranges that are repeated; they may overlap. docs: doc_id, th, text.
+    """(doc_id, th, spans), written: a document's repeated byte ranges (lo, hi, long, shared), which may overlap. docs: doc_id, th, text.
 
     long: covered by strings of LENGTH; shared: by strings of PASSAGE that stand in another document.
     """
@@ -387,7 +387,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     drop_written(asked)
     in_buckets = cut.where("bucket IS NOT NULL").select("bucket", "h", "docs", "ths", "pos", "singles", "wides", "transform").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     of_cold = in_buckets.mapInArrow(_merge, f"doc_id {kind}, th long, lo long, hi long, long boolean, shared boolean")
-    return copied.unionByName(of_cold).unionByName(_of_hot(cut))
+    every_span = copied.unionByName(of_cold).unionByName(_of_hot(cut))
+    spans = written(every_span.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi", "long", "shared")).alias("spans")), "repeated")
+    drop_written(copied, cut)
+    return spans
 
 
 def pa_type(docs: DataFrame) -> pa.DataType:
@@ -423,7 +426,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, shares_passage, kept, removed, passages) of every document."""
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = written(repeated_spans(rows).groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("lo", "hi", "long", "shared")).alias("spans")), "repeated")
+    spans = repeated_spans(rows).select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans")
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["s_id"]) & (rows["th"] == spans["s_th"]), "left").select("doc_id", "text", "spans")
     span = "array<struct<lo: long, hi: long>>"
     return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, shares_passage boolean, kept binary, removed {span}, passages {span}")
