@@ -148,106 +148,120 @@ class Kll(_Summary):
 
 
 class Req(_Summary):
-    """Relative-error quantiles: compactors that protect the accurate end, more so the more they worked."""
+    """Relative-error quantiles: sorted buffers that give items up from the inaccurate end only.
+
+    A level has room for twice its sections of k items each. The half at the accurate end is
+    never touched. A compaction takes all of the other half but some sections next to the
+    protected one: how many it takes follows the ruler sequence 1, 2, 1, 3, 1, 2, 1, 4, ...,
+    so that a section is taken half as often as the one farther out. The number of sections
+    grows with the logarithm of what a level has seen.
+    """
+
+    LEAST_SECTIONS = 3
 
     def __init__(self, k: int = 12, high: bool = True, seed: int = 1):
         if not 4 <= k <= 1024 or k % 2:
             raise ValueError("k must be even and lie between 4 and 1024")
-        self.k, self.high, self.n, self.state = k, high, 0, seed
+        self.k, self.high, self.n = k, high, 0
+        self.rng = np.random.Generator(np.random.PCG64(seed))
         self.low_item, self.high_item = math.inf, -math.inf
-        self.items: list[np.ndarray] = [np.zeros(0)]
-        #: for each level: compactions, sections, section size, last coin
-        self.shape: list[list] = [[0, 3, float(k), 0]]
-
-    def _coin(self) -> int:
-        self.state = (self.state * 6364136223846793005 + 1442695040888963407) & ((1 << 64) - 1)
-        return self.state >> 63
+        #: For each level: items, compactions so far, items that ever came in.
+        self.items: list[np.ndarray] = []
+        self.rounds: list[int] = []
+        self.seen: list[int] = []
 
-    def _size(self, level: int) -> int:
-        return round(self.shape[level][2] / 2) * 2
+    def _sections(self, level: int) -> int:
+        return max(self.LEAST_SECTIONS, math.ceil(math.log2(max(1, self.seen[level]) / self.k)))
 
-    def _capacity(self, level: int) -> int:
-        return 2 * self.shape[level][1] * self._size(level)
+    def _put(self, level: int, new: np.ndarray, seen: int) -> None:
+        if level == len(self.items):
+            self.items.append(np.zeros(0))
+            self.rounds.append(0)
+            self.seen.append(0)
+        self.items[level] = np.sort(np.concatenate([self.items[level], new]), kind="stable")
+        self.seen[level] += seen
 
     def extend(self, values) -> Req:
         v = np.asarray(values, np.float64)
         v = v[np.isfinite(v)]
         if not len(v):
             return self
-        self.low_item, self.high_item = min(self.low_item, v.min()), max(self.high_item, v.max())
-        at = 0
-        while at < len(v):
-            room = max(1, self._capacity(0) - len(self.items[0]))
-            self.items[0] = np.concatenate([self.items[0], v[at : at + room]])
-            at += room
-            self._shrink()
+        self.low_item, self.high_item = min(self.low_item, float(v.min())), max(self.high_item, float(v.max()))
         self.n += len(v)
+        step = 4 * self.k * self.LEAST_SECTIONS
+        for at in range(0, len(v), step):
+            part = v[at : at + step]
+            self._put(0, part, len(part))
+            self._settle()
         return self
 
-    def _shrink(self) -> None:
-        level = 0
-        while level < len(self.items):
-            if len(self.items[level]) >= self._capacity(level):
-                self._compact(level)
-            level += 1
-
-    def _compact(self, level: int) -> None:
-        done, sections, _, coin = self.shape[level]
-        if level + 1 == len(self.items):
-            self.items.append(np.zeros(0))
-            self.shape.append([0, 3, float(self.k), 0])
-        items = np.sort(self.items[level])
-        take = min(((done + 1) & -(done + 1)).bit_length(), sections)
-        keep = self._capacity(level) // 2 + (sections - take) * self._size(level)
-        keep += (len(items) - keep) % 2
-        part, rest = (items[: len(items) - keep], items[len(items) - keep :]) if self.high else (items[keep:], items[:keep])
-        coin = 1 - coin if done % 2 else self._coin()
+    def _settle(self) -> None:
+        for level in range(64):
+            if level == len(self.items):
+                return
+            sections = self._sections(level)
+            while len(self.items[level]) >= 2 * self.k * sections:
+                self._give_up(level, sections)
+
+    def _give_up(self, level: int, sections: int) -> None:
+        self.rounds[level] += 1
+        ruler = (self.rounds[level] & -self.rounds[level]).bit_length()
+        stay = self.k * (2 * sections - min(ruler, sections))
+        own = self.items[level]
+        gone = (len(own) - stay) // 2 * 2
+        part, rest = (own[:gone], own[gone:]) if self.high else (own[len(own) - gone :], own[: len(own) - gone])
         self.items[level] = rest
-        self.items[level + 1] = np.concatenate([self.items[level + 1], part[coin::2]])
-        self.shape[level][0], self.shape[level][3] = done + 1, coin
-        smaller = self.shape[level][2] / math.sqrt(2)
-        if done + 1 >= 1 << (sections - 1) and round(smaller / 2) * 2 >= 4:
-            self.shape[level][1], self.shape[level][2] = 2 * sections, smaller
+        # one of every two neighbours goes up, for both
+        self._put(level + 1, part.reshape(-1, 2)[:, int(self.rng.integers(2))], gone // 2)
 
     def merge(self, other: Req) -> Req:
+        """Level by level; what a level has seen adds up, and of two rulers the one further on holds."""
         if self.high != other.high:
             raise ValueError("only summaries of the same accurate end merge")
         self.low_item, self.high_item = min(self.low_item, other.low_item), max(self.high_item, other.high_item)
-        for i, x in enumerate(other.items):
-            if i == len(self.items):
-                self.items.append(np.zeros(0))
-                self.shape.append([0, 3, float(self.k), 0])
-            self.items[i] = np.concatenate([self.items[i], x])
-            mine, theirs = self.shape[i], other.shape[i]
-            mine[0] |= theirs[0]
-            if theirs[1] > mine[1]:
-                mine[1:3] = theirs[1:3]
         self.n += other.n
-        self._shrink()
+        for level, (items, rounds, seen) in enumerate(zip(other.items, other.rounds, other.seen, strict=True)):
+            self._put(level, items, seen)
+            self.rounds[level] = max(self.rounds[level], rounds)
+        self._settle()
         return self
 
     def view(self) -> SortedView:
-        items = [float(x) for level in self.items for x in level]
-        return SortedView(items, [1 << i for i, level in enumerate(self.items) for _ in level])
+        return SortedView([float(x) for level in self.items for x in level], [1 << i for i, level in enumerate(self.items) for _ in level])
 
     def rank(self, item, inclusive: bool = True) -> float:
         if not math.isfinite(item):
             raise ValueError("a finite item is asked for")
         return super().rank(item, inclusive)
 
+    _HEAD = struct.Struct("<4sHBBQQdd")
+
     def to_bytes(self) -> bytes:
-        return json.dumps([self.k, self.high, self.n, self.state, self.low_item, self.high_item, self.shape, [x.tolist() for x in self.items]]).encode()
+        """Magic, k, accurate end, levels, n, a seed for what follows, ends; for each level its numbers and items."""
+        head = self._HEAD.pack(b"TFRQ", self.k, self.high, len(self.items), self.n, int(self.rng.integers(1 << 62)), self.low_item, self.high_item)
+        return head + b"".join(struct.pack("<QQI", r, s, len(x)) + x.astype("<f8").tobytes() for r, s, x in zip(self.rounds, self.seen, self.items, strict=True))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Req:
-        out = cls()
-        out.k, out.high, out.n, out.state, out.low_item, out.high_item, out.shape, items = json.loads(data)
-        out.items = [np.array(x, np.float64) for x in items]
+        magic, k, high, levels, n, seed, low_item, high_item = cls._HEAD.unpack_from(data)
+        if magic != b"TFRQ":
+            raise ValueError("not a relative-error summary")
+        out, at = cls(k, bool(high), seed), cls._HEAD.size
+        out.n, out.low_item, out.high_item = n, low_item, high_item
+        for level in range(levels):
+            rounds, seen, size = struct.unpack_from("<QQI", data, at)
+            out._put(level, np.frombuffer(data, "<f8", size, at + 20), seen)
+            out.rounds[level] = rounds
+            at += 20 + 8 * size
         return out
 
 
 class TDigest:
-    """Clusters of values, smaller towards both ends; ranks and quantiles by interpolation."""
+    """Clusters of values, smaller towards both ends; ranks and quantiles by interpolation.
+
+    Sorted values are cut where an arcsine of the rank passes a whole number: the scale has k
+    of those, close together at both ends.
+    """
 
     _HEAD = struct.Struct("<BBBHBxx")
 
@@ -257,7 +271,6 @@ class TDigest:
         self.k = k
         self.means, self.weights = np.zeros(0), np.zeros(0, np.int64)
         self.low, self.high = math.inf, -math.inf
-        self.backwards = False
 
     @property
     def n(self) -> int:
@@ -266,9 +279,8 @@ class TDigest:
     def extend(self, values) -> TDigest:
         v = np.asarray(values, np.float64)
         v = v[np.isfinite(v)]
-        for at in range(0, len(v), 8 * self.k):
-            part = v[at : at + 8 * self.k]
-            self._add(part, np.ones(len(part), np.int64), part.min(), part.max())
+        if len(v):
+            self._add(v, np.ones(len(v), np.int64), float(v.min()), float(v.max()))
         return self
 
     def merge(self, other: TDigest) -> TDigest:
@@ -276,34 +288,21 @@ class TDigest:
             self._add(other.means, other.weights, other.low, other.high)
         return self
 
-    def _add(self, means, weights, low, high) -> None:
-        self.low, self.high = min(self.low, float(low)), max(self.high, float(high))
-        m, w = np.concatenate([means, self.means]), np.concatenate([weights, self.weights])
+    def _add(self, means, weights, low: float, high: float) -> None:
+        self.low, self.high = min(self.low, low), max(self.high, high)
+        m, w = np.concatenate([self.means, means]), np.concatenate([self.weights, weights])
         order = np.argsort(m, kind="stable")
-        m, w = m[order].tolist(), w[order].tolist()
-        if self.backwards:
-            m.reverse()
-            w.reverse()
-        n, last = sum(w), len(m) - 1
-        norm = 2 * self.k / (4 * math.log(max(n / (2 * self.k), 1e-300)) + 24) if n > 0 else 1.0
-        norm = norm if norm > 0 else 2.0 * self.k
-        out_m, out_w, before = [m[0]], [w[0]], 0
-        for i in range(1, len(m)):
-            joint = out_w[-1] + w[i]
-            q0, q2 = before / n, (before + joint) / n
-            # the first and the last value stay clusters of one
-            if i not in (1, last) and joint <= n * min(q0 * (1 - q0), q2 * (1 - q2)) / norm:
-                out_w[-1] = joint
-                out_m[-1] += (m[i] - out_m[-1]) * w[i] / joint
-            else:
-                before += out_w[-1]
-                out_m.append(m[i])
-                out_w.append(w[i])
-        if self.backwards:
-            out_m.reverse()
-            out_w.reverse()
-        self.backwards = not self.backwards
-        self.means, self.weights = np.array(out_m), np.array(out_w, np.int64)
+        m, w = m[order], w[order]
+        middle = (np.cumsum(w) - w / 2) / w.sum()
+        cell = np.floor(self.k / np.pi * np.arcsin(2 * middle - 1)).astype(np.int64)
+        # the least and the greatest value are clusters of their own
+        cell[0] -= 1
+        cell[-1] += 1
+        at = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+        total = np.add.reduceat(w, at)
+        # a mean over differences from the cluster's first value, which is exact where all are equal
+        first = np.repeat(m[at], np.diff(at, append=len(m)))
+        self.means, self.weights = m[at] + np.add.reduceat((m - first) * w, at) / total, total
 
     def _knots(self) -> tuple[np.ndarray, np.ndarray]:
         """(value, weight below) points of a line; single values are flat for half a weight on each side."""
@@ -354,7 +353,7 @@ class TDigest:
             return self._HEAD.pack(1, 1, 20, self.k, 1)
         body = np.empty(len(self.means), [("m", "<f8"), ("w", "<u8")])
         body["m"], body["w"] = self.means, self.weights
-        return self._HEAD.pack(2, 1, 20, self.k, 4 * self.backwards) + struct.pack("<IIdd", len(self.means), 0, self.low, self.high) + body.tobytes()
+        return self._HEAD.pack(2, 1, 20, self.k, 0) + struct.pack("<IIdd", len(self.means), 0, self.low, self.high) + body.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> TDigest:
@@ -369,5 +368,5 @@ class TDigest:
             return out
         n, loose, out.low, out.high = struct.unpack_from("<IIdd", data, 8)
         body = np.frombuffer(data, [("m", "<f8"), ("w", "<u8")], n, 32)
-        out.means, out.weights, out.backwards = body["m"].copy(), body["w"].astype(np.int64), bool(flags & 4)
+        out.means, out.weights = body["m"].copy(), body["w"].astype(np.int64)
         return out.extend(np.frombuffer(data, "<f8", loose, 32 + 16 * n))
