@@ -1,19 +1,19 @@
 """Distinct counts with set algebra.
 
-Relational form: rows (keys..., hash, theta), the hashes below theta that a group retains. A
-sketch in exact mode has theta = MAX_HASH. Nulls are no items; an empty group has no rows, so its
-estimate is 0 wherever it is joined in.
+Relational form: rows (keys..., hash, theta), the hashes below theta that a group retains, and
+for each group one row without a hash, which keeps theta where nothing is retained. A sketch in exact mode
+has theta = MAX_HASH. Nulls are no items; a group without items has no rows, so its estimate
+is 0 wherever it is joined in. Without keys there is one group, which always has its row.
 """
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import MAX_HASH, hash63, theta_bound, theta_estimate
 from tallyforge.kernels import intervals
+from tallyforge.operators.bottom import least_hashes
 
 MIN_LG_K, MAX_LG_K, DEFAULT_LG_K = 5, 26, 12
 
@@ -31,16 +31,15 @@ def sketch(col: Column | str, lg_k: int = DEFAULT_LG_K) -> Column:
 
 def _trim(hashes: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k least hashes of each group of distinct (keys, hash, theta) and the new theta."""
-    w = Window.partitionBy(*keys).orderBy("hash") if keys else None
-    if w is None:
-        # without keys a top-k, which no single task sorts whole
-        least = hashes.orderBy("hash").limit(k + 1).withColumn("place", F.row_number().over(Window.orderBy("hash")))
-        every = Window.partitionBy()
-    else:
-        least = hashes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
-        every = Window.partitionBy(*keys)
-    cut = F.least(F.min("theta").over(every), F.coalesce(F.max(F.when(F.col("place") == k + 1, F.col("hash"))).over(every), F.lit(MAX_HASH)))
-    return least.withColumn("theta", cut).where(F.col("hash") < F.col("theta")).drop("place")
+    w = Window.partitionBy(*keys)
+    placed = hashes.withColumn("place", F.when(F.col("hash").isNotNull(), F.row_number().over(w.orderBy(F.col("hash").asc_nulls_last()))))
+    cut = F.least(F.min("theta").over(w), F.coalesce(F.min(F.when(F.col("place") == k + 1, F.col("hash"))).over(w), F.lit(MAX_HASH)))
+    return placed.withColumn("theta", cut).where("hash IS NULL OR hash < theta").drop("place")
+
+
+def marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with a row for each of groups (keys, theta) that has no hash."""
+    return rows.unionByName(groups.select("*"), allowMissingColumns=True)
 
 
 def build(df: DataFrame, col: Column | str, keys: list[str] | None = None, lg_k: int = DEFAULT_LG_K, p: float = 1.0, how: str = "xxhash64") -> DataFrame:
@@ -50,8 +49,16 @@ def build(df: DataFrame, col: Column | str, keys: list[str] | None = None, lg_k:
     keys = keys or []
     start = MAX_HASH if p == 1 else int(MAX_HASH * p)
     h = hash63(F.col(col) if isinstance(col, str) else col, how)
-    hashes = df.select(*keys, h.alias("hash")).where(F.col("hash").isNotNull() & (F.col("hash") < start)).distinct()
-    return _trim(hashes.withColumn("theta", F.lit(start).cast("long")), keys, 1 << check_lg_k(lg_k))
+    k = 1 << check_lg_k(lg_k)
+    every = df.select(*keys, h.alias("hash")).where("hash IS NOT NULL")
+    few = least_hashes(every.where(F.col("hash") < start), keys, k).withColumn("theta", F.lit(start).cast("long"))
+    if keys and p == 1:
+        # a group always retains its least hash, and that row brings the one without a hash
+        least = F.col("hash") == F.min("hash").over(Window.partitionBy(*keys))
+        both = F.when(least, F.array(F.col("hash"), F.lit(None).cast("long"))).otherwise(F.array("hash"))
+        return _trim(few, keys, k).withColumn("__both", both).select(*keys, F.explode("__both").alias("hash"), "theta")
+    groups = every.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    return _trim(marked(few, groups.withColumn("theta", F.lit(start).cast("long"))), keys, k)
 
 
 def trim(s: DataFrame, lg_k: int, keys: list[str] | None = None) -> DataFrame:
@@ -64,15 +71,23 @@ def union(a: DataFrame, b: DataFrame, keys: list[str] | None = None, lg_k: int =
     both = a.unionByName(b)
     one = both.groupBy(*keys, "hash").agg(F.min("theta").alias("theta"))
     w = Window.partitionBy(*keys)
-    low = one.withColumn("theta", F.min("theta").over(w)).where("hash < theta")
+    low = one.withColumn("theta", F.min("theta").over(w)).where("hash IS NULL OR hash < theta")
     return _trim(low, keys, 1 << check_lg_k(lg_k))
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Hashes of both, below the lesser theta. An intersection without matches has no rows."""
+    """Hashes of both, below the lesser theta, which an intersection without matches keeps as well."""
     keys = keys or []
-    theirs = b.select(*keys, "hash", F.col("theta").alias("__t"))
-    return a.join(theirs, [*keys, "hash"]).withColumn("theta", F.least("theta", "__t")).where("hash < theta").drop("__t")
+    theirs = b.where("hash IS NOT NULL").select(*keys, "hash", F.col("theta").alias("__t"))
+    both = a.join(theirs, [*keys, "hash"]).withColumn("theta", F.least("theta", "__t")).where("hash < theta").drop("__t")
+    return marked(both, lesser_thetas(a, b, keys))
+
+
+def lesser_thetas(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, theta): of the groups that both have, the lesser theta."""
+    mine, theirs = a.where("hash IS NULL").select(*keys, "theta"), b.where("hash IS NULL").select(*keys, F.col("theta").alias("__t"))
+    pairs = mine.join(theirs, keys) if keys else mine.crossJoin(F.broadcast(theirs))  # one row
+    return pairs.select(*keys, F.least("theta", "__t").alias("theta"))
 
 
 def a_not_b(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -80,7 +95,7 @@ def a_not_b(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFr
     cut = b.groupBy(*keys).agg(F.min("theta").alias("__t"))
     rest = a.join(b.select(*keys, "hash"), [*keys, "hash"], "left_anti")
     rest = rest.join(cut, keys, "left") if keys else rest.crossJoin(F.broadcast(cut))  # one row
-    return rest.withColumn("theta", F.least("theta", F.coalesce("__t", "theta"))).where("hash < theta").drop("__t")
+    return rest.withColumn("theta", F.least("theta", F.coalesce("__t", "theta"))).where("hash IS NULL OR hash < theta").drop("__t")
 
 
 def estimate(s: DataFrame, keys: list[str] | None = None, kappa: tuple[int, ...] = (2,)) -> DataFrame:
@@ -92,44 +107,74 @@ def estimate(s: DataFrame, keys: list[str] | None = None, kappa: tuple[int, ...]
     return out
 
 
-def _numbers(s: DataFrame) -> tuple[int, int]:
-    r = s.agg(F.count("hash").alias("n"), F.min("theta").alias("t")).first()
-    return r["n"], r["t"] if r["t"] is not None else MAX_HASH
+def estimating_union(a: DataFrame, b: DataFrame) -> tuple[int, int, int, int, int, int]:
+    """(retained by a, by b, theta of a, of b, retained by the union, by the intersection), from one plan.
+
+    The union is one that holds all of both, so nothing but the lesser theta cuts it.
+    """
+    side = lambda s, x, y: s.select("hash", "theta", F.lit(x).alias("in_a"), F.lit(y).alias("in_b"))
+    every = side(a, 1, 0).unionByName(side(b, 0, 1))
+    one = every.groupBy("hash").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.min(F.when(F.col("in_a") == 1, F.col("theta"))).alias("ta"), F.min(F.when(F.col("in_b") == 1, F.col("theta"))).alias("tb"))
+    w = Window.partitionBy()  # two sketches' rows
+    cut = F.least(F.min("ta").over(w), F.min("tb").over(w), F.lit(MAX_HASH))
+    below = F.col("hash") < F.col("cut")
+    r = one.withColumn("cut", cut).agg(
+        F.count(F.when(F.col("in_a") == 1, F.col("hash"))).alias("na"),
+        F.count(F.when(F.col("in_b") == 1, F.col("hash"))).alias("nb"),
+        F.coalesce(F.min("ta"), F.lit(MAX_HASH)).alias("ta"),
+        F.coalesce(F.min("tb"), F.lit(MAX_HASH)).alias("tb"),
+        F.count(F.when(below, F.col("hash"))).alias("nu"),
+        F.count(F.when(below & (F.col("in_a") + F.col("in_b") == 2), F.col("hash"))).alias("ni"),
+    ).first()
+    return tuple(r)
+
+
+class Comparison:
+    """Two sketches without keys, compared in one action: a few numbers leave the cluster."""
+
+    def __init__(self, a: DataFrame, b: DataFrame):
+        self.na, self.nb, self.ta, self.tb, self.nu, self.ni = estimating_union(a, b)
+
+    def jaccard(self) -> tuple[float, float, float]:
+        """(lower, estimate, upper) of the similarity."""
+        empty_a, empty_b = (n == 0 and t == MAX_HASH for n, t in ((self.na, self.ta), (self.nb, self.tb)))
+        if empty_a and empty_b:
+            return 1.0, 1.0, 1.0
+        if empty_a or empty_b:
+            return 0.0, 0.0, 0.0
+        t = min(self.ta, self.tb)
+        return intervals.ratio_bounds(self.nu, self.ni, t / MAX_HASH if t < MAX_HASH else 1.0)
+
+    def equal(self) -> bool:
+        return self.na == self.nb == self.ni and self.ta == self.tb
+
+    def similar(self, threshold: float) -> bool:
+        """The lower bound of the similarity reaches the threshold (97.7 % sure)."""
+        return self.jaccard()[0] >= threshold
+
+    def dissimilar(self, threshold: float) -> bool:
+        return self.jaccard()[2] <= threshold
 
 
 def jaccard(a: DataFrame, b: DataFrame) -> tuple[float, float, float]:
-    """(lower, estimate, upper) of the similarity of two sketches without keys; a few numbers leave the cluster."""
-    (na, _), (nb, _) = _numbers(a), _numbers(b)
-    if na == nb == 0:
-        return 1.0, 1.0, 1.0
-    if not na or not nb:
-        return 0.0, 0.0, 0.0
-    lg_k = min(MAX_LG_K, max(MIN_LG_K, ceil(log2(na + nb))))
-    u = union(a, b, lg_k=lg_k)
-    nu, tu = _numbers(u)
-    ni, _ = _numbers(intersect(intersect(a, b), u))
-    return intervals.ratio_bounds(nu, ni, tu / MAX_HASH if tu < MAX_HASH else 1.0)
+    return Comparison(a, b).jaccard()
 
 
 def exactly_equal(a: DataFrame, b: DataFrame) -> bool:
-    (na, ta), (nb, tb) = _numbers(a), _numbers(b)
-    return na == nb and ta == tb and intersect(a, b).count() == na
+    return Comparison(a, b).equal()
 
 
 def similar(measured: DataFrame, expected: DataFrame, threshold: float) -> bool:
-    """The lower bound of the similarity reaches the threshold (97.7 % sure)."""
-    return jaccard(measured, expected)[0] >= threshold
+    return Comparison(measured, expected).similar(threshold)
 
 
 def dissimilar(measured: DataFrame, expected: DataFrame, threshold: float) -> bool:
-    return jaccard(measured, expected)[2] <= threshold
+    return Comparison(measured, expected).dissimilar(threshold)
 
 
 def b_over_a(a: DataFrame, b: DataFrame) -> tuple[float, float, float]:
-    """Bounds of |A and B| / |A|."""
-    both = intersect(a, b)
-    _, tb = _numbers(b)
-    at = a.where(F.col("hash") < tb)
-    na, ta = _numbers(at)
-    f = min(ta, tb)
-    return intervals.ratio_bounds(na, both.count(), f / MAX_HASH if f < MAX_HASH else 1.0)
+    """Bounds of |A and B| / |A|, from what both say below the lesser theta."""
+    c = Comparison(a, b)
+    f = min(c.ta, c.tb)
+    at = a.where(F.col("hash") < f).count() if c.tb < c.ta else c.na
+    return intervals.ratio_bounds(at, c.ni, f / MAX_HASH if f < MAX_HASH else 1.0)

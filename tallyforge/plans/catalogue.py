@@ -99,7 +99,7 @@ def theta_sampling_p(spark, sf):
 def theta_relational_algebra(spark, sf):
     li = table(spark, sf, "lineitem")
     a, b = (theta.build(li.where(f"l_returnflag = '{x}'"), "l_orderkey", lg_k=8, how="md5") for x in "RA")
-    n = lambda s, name: s.agg(F.count("*").alias(name))
+    n = lambda s, name: s.agg(F.count("hash").alias(name))
     u, i, d = n(theta.union(a, b, lg_k=12), "n_union"), n(theta.intersect(a, b), "n_both"), n(theta.a_not_b(a, b), "n_only_a")
     return u.crossJoin(F.broadcast(i)).crossJoin(F.broadcast(d))  # one row each
 
@@ -114,8 +114,8 @@ def _customers(spark, sf, priority):
     SELECT j AS lb, j AS estimate, j AS ub, false AS equal, j >= 0.5 AS similar, j <= 0.1 AS dissimilar FROM r"""
 )
 def theta_jaccard(spark, sf):
-    a, b = _customers(spark, sf, "1-URGENT"), _customers(spark, sf, "2-HIGH")
-    return spark.createDataFrame([(*theta.jaccard(a, b), theta.exactly_equal(a, b), theta.similar(a, b, 0.5), theta.dissimilar(a, b, 0.1))], "lb double, estimate double, ub double, equal boolean, similar boolean, dissimilar boolean")
+    c = theta.Comparison(_customers(spark, sf, "1-URGENT"), _customers(spark, sf, "2-HIGH"))
+    return spark.createDataFrame([(*c.jaccard(), c.equal(), c.similar(0.5), c.dissimilar(0.1))], "lb double, estimate double, ub double, equal boolean, similar boolean, dissimilar boolean")
 
 
 @query(
@@ -135,7 +135,7 @@ def theta_murmur_interop(spark, sf):
     from tallyforge.sources import theta_image
 
     li = table(spark, sf, "lineitem")
-    own = theta.build(li, "l_partkey", lg_k=9, how="murmur3").agg(F.count("*").alias("n"), F.min("theta").alias("t"), F.max("hash").alias("x"))
+    own = theta.build(li, "l_partkey", lg_k=9, how="murmur3").agg(F.count("hash").alias("n"), F.min("theta").alias("t"), F.max("hash").alias("x"))
     native = li.agg(theta.sketch("l_partkey", 9).alias("s"), F.countDistinct("l_partkey").alias("exact"))
     r = native.first()
     t, hashes = theta_image(bytes(r["s"]))
@@ -166,7 +166,7 @@ def tuple_array_sum(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("x", F.array("l_quantity", "l_extendedprice"))
     a, b = (tuples.build(li.where(c), "l_partkey", {"x": tuples.array_sum("x", 2)}, lg_k=20) for c in ("l_linenumber % 2 = 0", "l_linenumber % 2 = 1"))
     u = tuples.union(a, b, {"x": tuples.array_sum("x", 2)}, lg_k=20)
-    return u.agg(F.count("*").alias("n_keys"), F.round(F.sum(F.col("x")[0]), 2).alias("qty"), F.round(F.sum(F.col("x")[1]), 2).alias("price"))
+    return u.agg(F.count("hash").alias("n_keys"), F.round(F.sum(F.col("x")[0]), 2).alias("qty"), F.round(F.sum(F.col("x")[1]), 2).alias("price"))
 
 
 @query(
@@ -190,7 +190,7 @@ def tuple_a_not_theta(spark, sf):
 @query("SELECT last, count(*) AS users FROM (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id) GROUP BY last")
 def tuple_strings_last(spark, sf):
     s = tuples.build(table(spark, sf, "events"), "user_id", {"last": tuples.last("event_type", "event_id")}, lg_k=20)
-    return s.groupBy("last").agg(F.count("*").alias("users"))
+    return s.where("hash IS NOT NULL").groupBy("last").agg(F.count("*").alias("users"))
 
 
 # registers and cells

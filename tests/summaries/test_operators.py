@@ -16,7 +16,8 @@ def items(spark):
 
 
 def same(a, b):
-    return sorted(map(tuple, a.select(sorted(a.columns)).collect())) == sorted(map(tuple, b.select(sorted(b.columns)).collect()))
+    rows = lambda d: sorted(map(tuple, d.select(sorted(d.columns)).collect()), key=repr)
+    return rows(a) == rows(b)
 
 
 @pytest.mark.parametrize("build", [lambda d: theta.build(d, "k", lg_k=6), lambda d: theta.build(d, "k", ["g"], 6), lambda d: hll.build(d, "k", ["g"], 8), lambda d: cpc.build(d, "k", lg_k=8), lambda d: frequency.count_min(d, "k"), lambda d: membership.build(d, "k")])
@@ -36,7 +37,7 @@ def test_theta_modes(items):
 def test_theta_algebra(spark):
     a = theta.build(spark.range(1000), "id", lg_k=14)
     b = theta.build(spark.range(500, 1500), "id", lg_k=14)
-    n = lambda s: s.count()
+    n = lambda s: s.where("hash IS NOT NULL").count()
     assert (n(theta.union(a, b, lg_k=14)), n(theta.intersect(a, b)), n(theta.a_not_b(a, b))) == (1500, 500, 500)
     assert theta.jaccard(a, b) == pytest.approx((1 / 3,) * 3)
     assert theta.exactly_equal(a, theta.build(spark.range(1000).repartition(5), "id", lg_k=14)) and not theta.exactly_equal(a, b)
@@ -83,9 +84,9 @@ def test_tuples(spark, items):
     u = tuples.union(a, b, {"n": F.sum("n"), "most": F.max("most")})
     assert same(u, s)
     i = tuples.intersect(a, b, {"n": F.col("a.n") + F.col("b.n"), "most": F.greatest("a.most", "b.most")})
-    assert i.count() == 700 and i.agg(F.sum("n")).first()[0] == 3000
-    assert tuples.a_not_b(a, theta.build(spark.range(350), "id")).count() == 350
-    assert tuples.where(s, F.col("n") > 4).count() == s.where("n > 4").count() > 0
+    assert i.where('hash IS NOT NULL').count() == 700 and i.agg(F.sum("n")).first()[0] == 3000
+    assert tuples.a_not_b(a, theta.build(spark.range(350), "id")).where("hash IS NOT NULL").count() == 350
+    assert tuples.where(s, F.col("n") > 4).count() - 1 == s.where("n > 4").count() > 0
     assert tuples.from_theta(theta.build(items, "k"), {"w": F.lit(1)}).agg(F.sum("w")).first()[0] == 700
     small = tuples.estimate(tuples.build(items, "k", {"n": F.count("*")}, lg_k=8), sums=("n",), kappa=3).first()
     assert small.lb <= 700 <= small.ub and small.n == pytest.approx(3000, rel=0.2)
