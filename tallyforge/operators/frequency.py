@@ -76,8 +76,7 @@ def frequent_by(summary: DataFrame, threshold: int = 0, errors: str = NO_FALSE_P
 
 def top_k(col: Column | str, k: int, capacity: int = 10_000) -> Column:
     """Spark's own aggregate: an array of (item, count)."""
-    name = col if isinstance(col, str) else col._jc.toString()
-    return F.expr(f"approx_top_k({name}, {k}, {capacity})")
+    return F.call_function("approx_top_k", F.col(col) if isinstance(col, str) else col, F.lit(k), F.lit(capacity))
 
 
 def _cells(df: DataFrame, item: Column, weight: Column, hashes: int, buckets: int, how: str) -> DataFrame:

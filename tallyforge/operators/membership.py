@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ from tallyforge.kernels.intervals import bloom_sizes
 MOST_BROADCAST_BITS = 1 << 28
 
 
+def pair(item: Column, how: str = "xxhash64") -> list[Column]:
+    """The two hashes from which an item's bits follow, of its text form."""
+    return [F.pmod(hash63(F.concat(F.lit(f"{i}:"), item.cast("string")), how), F.lit(1 << 48)) for i in (0, 1)]
+
+
 def indexes(item: Column, bits: int, hashes: int, how: str = "xxhash64") -> Column:
     """The item's bits: ((h0 + i * h1) >> 1) mod bits, i = 1..hashes, in 48-bit arithmetic."""
-    h0 = F.pmod(hash63(F.concat(F.lit("0:"), item.cast("string")), how), F.lit(1 << 48))
-    h1 = F.pmod(hash63(F.concat(F.lit("1:"), item.cast("string")), how), F.lit(1 << 48))
+    h0, h1 = pair(item, how)
     return F.array(*[F.pmod(F.shiftright(h0 + h1 * i, 1), F.lit(bits)) for i in range(1, hashes + 1)])
 
 
@@ -37,24 +43,59 @@ def invert(a: DataFrame, bits: int) -> DataFrame:
     return a.sparkSession.range(bits).withColumnRenamed("id", "bit").join(a, "bit", "left_anti")
 
 
+def packed(filter_bits: DataFrame, bits: int) -> np.ndarray:
+    """The filter as bytes on the driver; only for at most MOST_BROADCAST_BITS bits."""
+    if bits > MOST_BROADCAST_BITS:
+        raise ValueError("this filter is too large to be packed")
+    one = filter_bits.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 AS int))")).alias("v")).toArrow()
+    out = np.zeros(-(-bits // 8), np.uint8)
+    out[one.column("at").to_numpy()] = one.column("v").to_numpy()
+    return out
+
+
 def probe(df: DataFrame, item: str, filter_bits: DataFrame, expected: int = 10_000, false_positives: float = 0.01, how: str = "xxhash64") -> DataFrame:
-    """df with maybe: false means certainly not in the filter. A null item is in no filter."""
+    """df with maybe: false means certainly not in the filter. A null item is in no filter.
+
+    A filter of MOST_BROADCAST_BITS goes to every task once, as bytes, and two hashes of each
+    item are looked up there; larger ones are joined.
+    """
     bits, hashes = bloom_sizes(expected, false_positives)
-    ix = indexes(F.col(item), bits, hashes, how)
     if bits <= MOST_BROADCAST_BITS:
-        # a word for every 63 bits, in order, as one small row
-        words = filter_bits.groupBy((F.col("bit") / 63).cast("long").alias("word")).agg(F.sum(F.expr("shiftleft(1L, cast(pmod(bit, 63) AS int))")).alias("w"))
-        every = filter_bits.sparkSession.range(bits // 63 + 1).withColumnRenamed("id", "word").join(words, "word", "left")
-        row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("__words"))
-        hit = F.forall(ix, lambda i: F.getbit(F.element_at("__words", ((i / 63).cast("int") + 1)), F.pmod(i, F.lit(63)).cast("int")) == 1)
-        return df.crossJoin(F.broadcast(row)).withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__words")
+        shared = df.sparkSession.sparkContext.broadcast(packed(filter_bits, bits))
+
+        @F.pandas_udf("boolean")
+        def found(a: pd.Series, b: pd.Series) -> pd.Series:
+            known = shared.value
+            h0, h1 = a.fillna(0).to_numpy(np.int64), b.fillna(0).to_numpy(np.int64)
+            hit = a.notna().to_numpy()
+            for i in range(1, hashes + 1):
+                at = ((h0 + h1 * i) >> 1) % bits
+                hit &= (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            return pd.Series(hit)
+
+        return df.withColumn("maybe", found(*pair(F.col(item), how)))
+    ix = lambda c: indexes(c, bits, hashes, how)
     keyed = df.select(F.col(item).alias("__i")).where("__i is not null").distinct()
-    all_set = keyed.select("__i", F.explode(indexes(F.col("__i"), bits, hashes, how)).alias("bit")).distinct()
+    all_set = keyed.select("__i", F.explode(ix(F.col("__i"))).alias("bit")).distinct()
     missing = all_set.join(filter_bits, "bit", "left_anti").select("__i").distinct()
     miss = missing.withColumn("__miss", F.lit(True))
     return df.join(miss, df[item] == miss["__i"], "left").withColumn("maybe", F.col("__miss").isNull() & F.col(item).isNotNull()).drop("__i", "__miss")
 
 
+def capacity(expected: int, false_positives: float) -> tuple[int, int]:
+    """(bits, hashes) of a filter for so many items."""
+    return bloom_sizes(expected, false_positives)
+
+
+def reset(filter_bits: DataFrame) -> DataFrame:
+    """The filter without its items."""
+    return filter_bits.where(F.lit(False))
+
+
+def is_empty(filter_bits: DataFrame) -> bool:
+    return filter_bits.isEmpty()
+
+
 def bits_used(filter_bits: DataFrame) -> DataFrame:
     return filter_bits.agg(F.count("*").alias("bits_used"))
 

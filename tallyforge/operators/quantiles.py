@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 from tallyforge.kernels.quantile import Kll, Req, TDigest
 
 KINDS = {"kll": Kll, "req": Req, "tdigest": TDigest}
-#: Summaries that one merge takes.
-FAN_IN = 64
+#: Summaries that one merge takes, and rounds of merges.
+FAN_IN, ROUNDS = 64, 3
+#: Groups whose summaries a task holds at a time.
+MOST_GROUPS = 4096
 
 
 def kll(col: Column | str, k: int = 200, kind: str = "double") -> Column:
@@ -57,35 +60,55 @@ def summarise(df: DataFrame, col: str, keys: list[str] | None = None, what: str
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+
+        def done(names: list[pa.Field]) -> pa.RecordBatch:
+            arrays = [pa.array([g[i] for g in held], f.type) for i, f in enumerate(names)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([s.to_bytes() for s in held.values()], pa.binary())], [*keys, "sketch"])
+
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not keys:
-                held.setdefault((), make(**how)).extend(t.column("__v").to_pylist())
-                continue
-            for g in t.group_by(keys).aggregate([("__v", "list")]).to_pylist():
-                held.setdefault(tuple(g[k] for k in keys), make(**how)).extend(g["__v_list"])
+            values = batch.column(batch.schema.get_field_index("__v"))
+            plain = values.to_pylist() if what == "kll" else values.to_numpy(zero_copy_only=False)
+            group = np.zeros(batch.num_rows, np.int64)
+            for c in keys:
+                own = batch.column(batch.schema.get_field_index(c)).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                group = np.unique(group * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+            order = np.argsort(group, kind="stable")
+            edges = [0, *(np.flatnonzero(np.diff(group[order])) + 1).tolist(), len(order)] if len(order) else []
+            fields = [batch.schema.field(c) for c in keys]
+            for a, b in zip(edges, edges[1:], strict=False):
+                rows = order[a:b]
+                key = tuple(batch.column(batch.schema.get_field_index(c))[int(rows[0])].as_py() for c in keys)
+                held.setdefault(key, make(**how)).extend([plain[i] for i in rows.tolist()] if what == "kll" else plain[rows])
+            if len(held) > MOST_GROUPS:
+                yield done(fields)
+                held.clear()
         if held:
-            arrays = [pa.array([g[i] for g in held], batch.schema.field(k).type) for i, k in enumerate(keys)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.to_bytes() for s in held.values()], pa.binary())], [*keys, "sketch"])
+            yield done(fields)
 
     return merge(values.mapInArrow(partial, schema), keys, what)
 
 
 def merge(sketches: DataFrame, keys: list[str] | None = None, what: str = "kll") -> DataFrame:
-    """One sketch per group of (keys, sketch) rows; a group of many is merged in two rounds."""
+    """One sketch per group of (keys, sketch) rows, in ROUNDS rounds.
+
+    In a round a group's summaries are dealt out among FAN_IN times fewer merges than in the round
+    before, the last of which is one. So none takes more than about FAN_IN, up to FAN_IN ** ROUNDS tasks.
+    """
     keys = keys or []
-    make, schema = KINDS[what], sketches.schema
+    make = KINDS[what]
+    schema = sketches.schema
 
     def all_of(t: pa.Table) -> pa.Table:
         out = make.from_bytes(t.column("sketch")[0].as_py())
-        for other in t.column("sketch").to_pylist()[1:]:
-            out.merge(make.from_bytes(other))
+        for other in t.column("sketch")[1:]:
+            out.merge(make.from_bytes(other.as_py()))
         first = t.select(keys).slice(0, 1).combine_chunks()
         return pa.Table.from_arrays([*first.columns, pa.array([out.to_bytes()], pa.binary())], names=[*keys, "sketch"])
 
-    salted = sketches.withColumn("__salt", F.pmod(F.xxhash64("sketch"), F.lit(FAN_IN)).cast("int"))
-    once = salted.groupBy(*keys, "__salt").applyInArrow(all_of, schema)
-    return once.groupBy(*keys).applyInArrow(all_of, schema)
+    for left in range(ROUNDS - 1, 0, -1):
+        salted = sketches.withColumn("__salt", F.pmod(F.xxhash64("sketch"), F.lit(FAN_IN**left)).cast("int"))
+        sketches = salted.groupBy(*keys, "__salt").applyInArrow(all_of, schema)
+    return sketches.groupBy(*keys).applyInArrow(all_of, schema)
 
 
 def quantile(sketch: Column | str, ranks: list[float], what: str = "kll", returns: str = "double", inclusive: bool = True) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,10 @@ from tallyforge.kernels import intervals
 from tallyforge.kernels.sampling import varopt as _varopt
 
 
+#: Tasks that thin the first tasks' samples out before one takes the rest: MIDDLE * k rows.
+MIDDLE = 64
+
+
 def reservoir(df: DataFrame, k: int, keys: list[str] | None = None, order: Column | None = None, seed: int = 42) -> DataFrame:
     """k rows of df (of each group) with __draw, by the least of a random number.
 
@@ -76,7 +81,7 @@ def varopt(df: DataFrame, weight: str, k: int, seed: int = 42) -> DataFrame:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
@@ -87,9 +92,7 @@ def varopt(df: DataFrame, weight: str, k: int, seed: int = 42) -> DataFrame:
             yield from held.to_batches()
 
     first = df.where(F.col(weight) > 0).withColumn("__weight", F.col(weight).cast("double")).mapInArrow(reduce, schema)
-    tasks = max(1, int(first.rdd.getNumPartitions() ** 0.5))
-    some = first.repartition(tasks).mapInArrow(reduce, schema) if tasks > 1 else first
-    return some.coalesce(1).mapInArrow(reduce, schema)
+    return first.repartition(MIDDLE).mapInArrow(reduce, schema).repartition(1).mapInArrow(reduce, schema)
 
 
 def varopt_subset_sum(sample: DataFrame, predicate: Column) -> tuple[float, float, float, float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import struct
 import tempfile
 import uuid
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; in a folder of our own only where that is not set."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path in spark.checkpoint.dir; in a folder of our own only in local sessions that set none."""
+    conf = spark.sparkContext.getConf()
+    top = conf.get("spark.checkpoint.dir")
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.TemporaryDirectory(prefix="tallyforge-"))
             atexit.register(_own[0].cleanup)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["deduplicated", "drained", "running", "stream_table", "windowed"]
+from tallyforge.sources.store import scratch
+
+__all__ = ["deduplicated", "drained", "running", "sessions", "stream_table", "windowed"]
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,26 @@ def windowed(events: DataFrame, time: str, width: str, sketches: dict[str, Colum
     return marked.groupBy(F.window(time, width, slide), *(keys or [])).agg(*[c.alias(n) for n, c in sketches.items()])
 
 
+def sessions(events: DataFrame, time: str, gap: str, sketches: dict[str, Column], keys: list[str], late: str = "1 day") -> DataFrame:
+    """A row per session of each key, which ends after a gap without events, with the sketches."""
+    marked = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return marked.groupBy(F.session_window(time, gap), *keys).agg(*[c.alias(n) for n, c in sketches.items()])
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream gives for all that is there now."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream gives for all that is there now, as a table in the shared folder; its state is checkpointed there, too."""
+    spark = stream.sparkSession
+    path = scratch(spark, "drained")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        # a batch that is run again replaces what it wrote; complete output replaces all before
+        rows.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    whole = f"{path}/rows"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(whole if mode == "complete" else f"{whole}/batch=none")
+    return spark.read.schema(stream.schema).parquet(whole).select(stream.columns)
 
 
 def deduplicated(events: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
