@@ -7,6 +7,10 @@ merges, and results do not depend on partitions. Count-Min is rows (row, bucket,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,52 @@ def build(df: DataFrame, item: str, capacity: int, weight: str | None = None) ->
     return _cut(df.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("item")).agg(F.sum(w).alias("cnt")), capacity)
 
 
+def _thinned(counts: dict, capacity: int) -> tuple[dict, int]:
+    """The counters above the (capacity + 1)st greatest count, less that count, and the count itself."""
+    if len(counts) <= capacity:
+        return counts, 0
+    n = np.fromiter(counts.values(), np.int64, len(counts))
+    cut = int(np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1])
+    return {x: c - cut for x, c in counts.items() if c > cut}, cut
+
+
+def build_bounded(df: DataFrame, item: str, capacity: int, weight: str | None = None) -> tuple[DataFrame, int]:
+    """((item, cnt) rows, offset) with at most 2 * capacity counters in a task, whatever the number of items.
+
+    A task that holds twice the capacity subtracts the (capacity + 1)st greatest count from all and drops what is
+    not above it; what was subtracted is part of the offset, so cnt <= truth <= cnt + offset. The offset is
+    at most all weight / (capacity + 1) for each task's share, and offsets add up over tasks.
+    """
+    w = F.lit(1).cast("long") if weight is None else F.when(F.col(weight) >= 0, F.col(weight)).otherwise(F.raise_error(F.lit("a weight is negative")))
+    rows = df.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), w.cast("long").alias("cnt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        lost = 0
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for part in (batch.slice(at, capacity) for at in range(0, batch.num_rows, capacity)):
+                one = pa.Table.from_batches([part]).group_by("item").aggregate([("cnt", "sum")])
+                for x, c in zip(one.column("item").to_pylist(), one.column("cnt_sum").to_pylist(), strict=True):
+                    held[x] = held.get(x, 0) + c
+                if len(held) > 2 * capacity:
+                    held, cut = _thinned(held, capacity)
+                    lost += cut
+        if kind is not None:
+            held, cut = _thinned(held, capacity)
+            lost += cut
+            # the row without an item has what the task subtracted
+            yield pa.RecordBatch.from_arrays([pa.array([*held, None], kind), pa.array([*held.values(), lost], pa.int64())], ["item", "cnt"])
+
+    kind = rows.schema["item"].dataType.simpleString()
+    merged = rows.mapInArrow(run, f"item {kind}, cnt long").groupBy("item").agg(F.sum("cnt").alias("cnt"))
+    kept = merged.where("item IS NOT NULL")
+    lost = merged.where("item IS NULL").agg(F.sum("cnt")).first()[0] or 0
+    top, offset = _cut(kept, capacity)
+    return top, offset + lost
+
+
 def merge(a: tuple[DataFrame, int], b: tuple[DataFrame, int], capacity: int) -> tuple[DataFrame, int]:
     return _cut(a[0].unionByName(b[0]).groupBy("item").agg(F.sum("cnt").alias("cnt")), capacity, a[1] + b[1])
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import MAX_HASH, hash63
 from tallyforge.kernels import intervals
-from tallyforge.operators import cpc, frequency, hll, membership, quantiles, sampling, theta, tuples
+from tallyforge.operators import cpc, describe, frequency, hll, membership, quantiles, sampling, theta, tuples
 from tallyforge.sources import load_sketches, save_sketches, scratch, table
-from tallyforge.streaming import deduplicated, drained, running, stream_table, windowed
+from tallyforge.streaming import deduplicated, drained, running, sessions, stream_table, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,9 +145,98 @@ def theta_murmur_interop(spark, sf):
     return spark.createDataFrame([(r["exact"], same)], "exact long, same_as_native boolean")
 
 
+def _kmv(rows: str, k: int, name: str) -> str:
+    """SQL: the k least md5 hashes of rows (column x) and their theta, as tables name and name_t."""
+    return f"""{name}_h AS (SELECT DISTINCT {H60.format("x")} * 8 AS h FROM ({rows})),
+    {name}_t AS (SELECT coalesce(max(h), {MAX_HASH}) AS t FROM (SELECT h, row_number() OVER (ORDER BY h) AS p FROM {name}_h) WHERE p = {k + 1}),
+    {name} AS (SELECT h FROM {name}_h, {name}_t WHERE h < t)"""
+
+
+@query(
+    f"""WITH {_kmv("SELECT l_orderkey * 2 AS x FROM lineitem", 64, "a")}, {_kmv("SELECT o_orderkey * 2 + 1 AS x FROM orders", 64, "b")}
+    SELECT 0::BIGINT AS n_retained, least(a_t.t, b_t.t) AS theta, true AS open_above FROM a_t, b_t"""
+)
+def theta_empty_intersection(spark, sf):
+    """Without a match theta stays, so the upper bound is above 0."""
+    a = theta.build(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("x")), "x", lg_k=6, how="md5")
+    b = theta.build(table(spark, sf, "orders").select((F.col("o_orderkey") * 2 + 1).alias("x")), "x", lg_k=6, how="md5")
+    return theta.estimate(theta.intersect(a, b)).select("n_retained", "theta", (F.col("ub_2") > 0).alias("open_above"))
+
+
+@query(
+    f"""WITH {_kmv("SELECT o_custkey AS x FROM orders WHERE o_orderpriority = '1-URGENT'", 128, "a")}, {_kmv("SELECT o_custkey AS x FROM orders WHERE o_orderpriority = '2-HIGH'", 128, "b")},
+    t AS (SELECT least(a_t.t, b_t.t) AS t FROM a_t, b_t)
+    SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT h FROM a UNION SELECT h FROM b), t WHERE h < t) AS n_union,
+    (SELECT count(*) FROM a JOIN b USING (h), t WHERE h < t) AS n_both, true AS ordered"""
+)
+def theta_jaccard_estimation(spark, sf):
+    o = table(spark, sf, "orders")
+    c = theta.Comparison(*(theta.build(o.where(F.col("o_orderpriority") == p), "o_custkey", lg_k=7, how="md5") for p in ("1-URGENT", "2-HIGH")))
+    low, mid, high = c.jaccard()
+    return spark.createDataFrame([(c.na, c.nb, c.nu, c.ni, low <= mid <= high)], "n_a long, n_b long, n_union long, n_both long, ordered boolean")
+
+
+@query(f"WITH {_kmv('SELECT l_partkey AS x FROM lineitem', 32, 'a')} SELECT (SELECT count(*) FROM a) AS n_retained, t AS theta FROM a_t")
+def theta_trim_md5(spark, sf):
+    s = theta.trim(theta.build(table(spark, sf, "lineitem"), "l_partkey", lg_k=9, how="md5"), 5)
+    return theta.estimate(s).select("n_retained", "theta")
+
+
 # tuple
 
 
+@query(
+    f"""WITH r AS (SELECT o_custkey AS x FROM orders), {_kmv("SELECT x FROM r", 128, "a")}
+    SELECT 0::BIGINT AS n_retained, t AS theta, true AS open_above FROM a_t"""
+)
+def tuple_filter_none(spark, sf):
+    s = tuples.build(table(spark, sf, "orders"), "o_custkey", {"n": F.count("*")}, lg_k=7, how="md5")
+    return tuples.estimate(tuples.where(s, F.col("n") < 0)).select("n_retained", "theta", (F.col("ub") > 0).alias("open_above"))
+
+
+@query(
+    f"""WITH r AS (SELECT o_custkey AS x, count(*) AS n FROM orders GROUP BY 1), {_kmv("SELECT x FROM r", 128, "a")}
+    SELECT (SELECT count(*) FROM a) AS n_retained, t AS theta, (SELECT sum(n)::BIGINT FROM r WHERE {H60.format("x")} * 8 < t) AS n FROM a_t"""
+)
+def tuple_estimation_md5(spark, sf):
+    s = tuples.build(table(spark, sf, "orders"), "o_custkey", {"n": F.count("*")}, lg_k=7, how="md5")
+    return s.agg(F.count("hash").alias("n_retained"), F.min("theta").alias("theta"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {_kmv('SELECT o_custkey AS x FROM orders', 64, 'a')} SELECT count(*) AS n_retained, 3 * count(*) AS weight FROM a")
+def tuple_from_theta_md5(spark, sf):
+    s = tuples.from_theta(theta.build(table(spark, sf, "orders"), "o_custkey", lg_k=6, how="md5"), {"w": F.lit(3).cast("long")})
+    return s.agg(F.count("hash").alias("n_retained"), F.sum("w").alias("weight"))
+
+
+@query("SELECT user_id, event_type, arg_max(props, event_id) AS last, 2 AS size FROM events GROUP BY user_id, event_type")
+def tuple_strings_by_strings(spark, sf):
+    """Keys of several strings, with arrays of strings of which the last written stays."""
+    ev = table(spark, sf, "events").withColumns({"key": F.array(F.col("user_id").cast("string"), "event_type"), "value": F.array("event_type", "props")})
+    s = tuples.build(ev, tuples.strings_key("key"), {"key": F.first("key"), "value": tuples.last("value", "event_id")}, lg_k=20)
+    held = s.where("hash IS NOT NULL")
+    return held.select(F.col("key")[0].cast("long").alias("user_id"), F.col("key")[1].alias("event_type"), F.col("value")[1].alias("last"), F.size("value").alias("size"))
+
+
+@query("SELECT count(*) AS customers, sum(o + h)::BIGINT AS n FROM (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS o, count(*) FILTER (o_orderpriority = '2-HIGH') AS h FROM orders GROUP BY 1) WHERE o > 0 AND h > 0")
+def tuple_array_intersection(spark, sf):
+    o = table(spark, sf, "orders").withColumn("x", F.array(F.lit(1).cast("long")))
+    a, b = (tuples.build(o.where(F.col("o_orderpriority") == p), "o_custkey", {"x": tuples.array_sum("x", 1)}, lg_k=20) for p in ("1-URGENT", "2-HIGH"))
+    both = tuples.array_intersect(a, b, "x", 1, F.zip_with("a.x", "b.x", lambda p, q: p + q))
+    return both.agg(F.count("hash").alias("customers"), F.sum(F.col("x")[0]).alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT')
+    SELECT (SELECT count(*) FROM b)::DOUBLE / (SELECT count(*) FROM a)::DOUBLE AS exact, true AS within"""
+)
+def tuple_ratio_bounds(spark, sf):
+    o = table(spark, sf, "orders")
+    low, _, high = tuples.b_over_a(*(tuples.build(d, "o_custkey", {"n": F.count("*")}, lg_k=9) for d in (o, o.where("o_orderpriority = '1-URGENT'"))))
+    urgent = F.countDistinct(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey"))).cast("double")
+    return o.agg((urgent / F.countDistinct("o_custkey").cast("double")).alias("exact")).select("exact", F.col("exact").between(low, high).alias("within"))
+
+
 @query("SELECT count(*) AS customers, sum(n)::BIGINT AS orders, round(sum(s), 2) AS spend FROM (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey)")
 def tuple_spend_per_customer(spark, sf):
     s = tuples.build(table(spark, sf, "orders"), "o_custkey", {"n": F.count("*"), "spend": F.sum("o_totalprice")}, lg_k=20)
@@ -288,6 +377,34 @@ def kll_strings(spark, sf):
     return q.select(F.col("q")[1].alias("q10"), F.col("q")[2].alias("q50"), F.col("q")[3].alias("q90"), F.col("q")[0].alias("low"), F.col("q")[4].alias("high"))
 
 
+@query(
+    """SELECT l_returnflag, count(*) AS n, list_sort(list(l_extendedprice))[floor(0.5 * count(*))::INT + 1] AS q50, list_sort(list(l_extendedprice))[floor(0.9 * count(*))::INT + 1] AS q90,
+    round((count(*) FILTER (l_extendedprice < 20000))::DOUBLE / count(*)::DOUBLE, 9) AS below FROM lineitem GROUP BY l_returnflag"""
+)
+def kll_exclusive(spark, sf):
+    s = quantiles.summarise(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], "kll", k=65535)
+    q = s.select("l_returnflag", describe.describe("sketch", "kll").alias("d"), quantiles.quantile("sketch", [0.5, 0.9], inclusive=False).alias("q"), quantiles.rank("sketch", [20000.0], inclusive=False).alias("r"))
+    return q.select("l_returnflag", F.col("d.n").alias("n"), F.col("q")[0].alias("q50"), F.col("q")[1].alias("q90"), F.round(F.col("r")[0], 9).alias("below"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, min(l_quantity)::VARCHAR AS low, max(l_quantity)::VARCHAR AS high, count(*) AS weight, true AS fewer FROM lineitem GROUP BY l_returnflag")
+def kll_description(spark, sf):
+    s = quantiles.summarise(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], "kll", k=50)
+    w = s.select("l_returnflag", describe.describe("sketch", "kll").alias("d"), F.explode(describe.weighted_items("sketch", "kll")).alias("x"))
+    return w.groupBy("l_returnflag").agg(F.first("d.n").alias("n"), F.first("d.low").alias("low"), F.first("d.high").alias("high"), F.max("x.upto").alias("weight"), (F.count("*") == F.first("d.retained")).alias("same")).select("l_returnflag", "n", "low", "high", "weight", F.col("same").alias("fewer"))
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN l_extendedprice <= 20000 THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS exact, true AS within, true AS sums_to_one FROM lineitem")
+def req_rank_cdf_pmf(spark, sf):
+    li = table(spark, sf, "lineitem")
+    s = quantiles.summarise(li, "l_extendedprice", what="req").select(quantiles.rank("sketch", [20000.0], "req")[0].alias("r"), quantiles.distribution("sketch", [20000.0, 40000.0], "req").alias("c"), quantiles.distribution("sketch", [20000.0, 40000.0], "req", cumulative=False).alias("p"))
+    exact = li.agg(F.count("*").alias("n"), F.avg((F.col("l_extendedprice") <= 20000).cast("double")).alias("exact"))
+    b = quantiles.rank_bounds("r", "n", kappa=3)
+    both = exact.crossJoin(F.broadcast(s)).withColumn("b", b)  # one row each
+    same = (F.col("c")[0] == F.col("r")) & (F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9) & (F.abs(F.col("p")[0] + F.col("p")[1] - F.col("c")[1]) < 1e-9)
+    return both.select("n", F.round("exact", 9).alias("exact"), F.col("exact").between(F.col("b.low"), F.col("b.high")).alias("within"), same.alias("sums_to_one"))
+
+
 def _req(spark, sf, high: bool):
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
     s = quantiles.summarise(li, "l_extendedprice", ["l_returnflag"], "req", high=high)
@@ -332,9 +449,44 @@ def tdigest_cdf(spark, sf):
     return exact.crossJoin(F.broadcast(s)).select(F.round("exact", 9).alias("exact"), (F.abs(F.col("exact") - F.col("r")) <= 0.01).alias("within"))  # one row each
 
 
+@query("SELECT event_type, count(*) AS n, true AS near, true AS sums_to_one FROM events GROUP BY event_type")
+def tdigest_pmf(spark, sf):
+    ev = table(spark, sf, "events").select("event_type", "value")
+    s = quantiles.summarise(ev, "value", ["event_type"], "tdigest").select("event_type", quantiles.distribution("sketch", [10.0, 50.0], "tdigest", cumulative=False).alias("p"))
+    exact = ev.groupBy("event_type").agg(F.count("*").alias("n"), F.avg(((F.col("value") > 10) & (F.col("value") <= 50)).cast("double")).alias("middle"))
+    one = F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    return exact.join(s, "event_type").select("event_type", "n", (F.abs(F.col("p")[1] - F.col("middle")) <= 0.01).alias("near"), one.alias("sums_to_one"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS same_quantiles FROM lineitem GROUP BY l_returnflag")
+def kll_image_interop(spark, sf):
+    """Spark's image of a summary, read and written again here, answers as before."""
+    from tallyforge.sources import images
+
+    again = F.pandas_udf(lambda s: s.map(lambda x: images.kll_image(images.kll_from_image(bytes(x)))), "binary")
+    s = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(quantiles.kll("l_extendedprice", 100).alias("s")).withColumn("t", again("s"))
+    return s.select("l_returnflag", F.kll_sketch_get_n_double("t").alias("n"), (quantiles.kll_quantiles("s", RANKS) == quantiles.kll_quantiles("t", RANKS)).alias("same_quantiles"))
+
+
 # frequency
 
 
+@query("SELECT l_partkey AS item, count(*) AS exact, true AS within FROM lineitem GROUP BY l_partkey")
+def freq_bounded_counters(spark, sf):
+    """No task holds more than twice the capacity, and bounds hold for every item."""
+    li = table(spark, sf, "lineitem")
+    summary = frequency.build_bounded(li, "l_partkey", 64)
+    exact = li.groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("exact"))
+    held = exact.join(F.broadcast(frequency.rows(summary)), "item", "left")  # the capacity at most
+    return held.select("item", "exact", ((F.coalesce("lb", F.lit(0)) <= F.col("exact")) & (F.col("exact") <= F.coalesce("ub", F.lit(summary[1])))).alias("within"))
+
+
+@query("SELECT 3.5::DOUBLE / 1024 AS epsilon, 3.5::DOUBLE / 1024 * sum(l_quantity)::DOUBLE AS error FROM lineitem")
+def freq_error(spark, sf):
+    e = intervals.frequency_error(1024)
+    return table(spark, sf, "lineitem").agg(F.lit(e).alias("epsilon"), (F.lit(e) * F.sum("l_quantity")).alias("error"))
+
+
 @query("SELECT l_suppkey AS item, count(*) AS estimate, count(*) AS lb, count(*) AS ub FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 500")
 def freq_topk_nfp(spark, sf):
     return frequency.frequent(frequency.build(table(spark, sf, "lineitem"), "l_suppkey", 1 << 20), 500)
@@ -399,6 +551,17 @@ def bloom_semijoin(spark, sf):
     return real.agg(F.sum(hit.cast("long")).alias("matching"), F.sum((hit & ~F.col("maybe")).cast("long")).alias("missed"), (F.avg(F.when(~hit, F.col("maybe").cast("double"))) <= 0.03).alias("few_false"))
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS known, 0::BIGINT AS missed_before, 0::BIGINT AS missed_after FROM orders")
+def bloom_query_and_update(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    n = max(1, o.count())
+    before, after = membership.query_and_update(o, "o_orderkey", membership.build(o.where("o_orderstatus = 'F'"), "o_orderkey", n), n)
+    known = F.col("o_orderstatus") == "F"
+    first = before.agg(F.count("*").alias("n"), F.sum(known.cast("long")).alias("known"), F.sum((known & ~F.col("maybe")).cast("long")).alias("missed_before"))
+    then = membership.probe(o, "o_orderkey", after, n).agg(F.sum((~F.col("maybe")).cast("long")).alias("missed_after"))
+    return first.crossJoin(F.broadcast(then))  # one row each
+
+
 def _bits_sql(where: str = "") -> str:
     h = [H60.format(f"('{i}:' || o_orderkey::VARCHAR)") for i in (0, 1)]
     return f"SELECT DISTINCT (((({h[0]} * 8) % 281474976710656) + (({h[1]} * 8) % 281474976710656) * i) >> 1) % 95872 AS bit FROM orders, (SELECT unnest(range(1, 8)) AS i) {where}"
@@ -478,9 +641,34 @@ def varopt_subset_sum(spark, sf):
     return spark.createDataFrame([(round(r["exact"], 2), s.count(), abs(total - r["all"]) <= 1e-6 * r["all"], low - slack <= r["exact"] <= high + slack)], "exact double, n long, total_kept boolean, within boolean")
 
 
+@query("SELECT round(sum(l_extendedprice), 2) AS total, 500::BIGINT AS n, true AS total_kept FROM lineitem")
+def varopt_union(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_linenumber", "l_extendedprice")
+    a, b = (sampling.varopt(li.where(f"l_linenumber % 2 = {i}"), "l_extendedprice", 500) for i in (0, 1))
+    u = sampling.varopt_union(a, b, 500).agg(F.count("*").alias("n"), F.sum("__weight").alias("w"))
+    exact = li.agg(F.sum("l_extendedprice").alias("all"))
+    return exact.crossJoin(F.broadcast(u)).select(F.round("all", 2).alias("total"), "n", (F.abs(F.col("w") - F.col("all")) <= 1e-6 * F.col("all")).alias("total_kept"))  # one row each
+
+
 # streams and stored sketches
 
 
+@query("SELECT s + to_days(i::INT) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT date_trunc('day', ts)::DATE AS s, user_id, unnest([0, -1]) AS i FROM events) GROUP BY 1")
+def stream_sliding_windows(spark, sf):
+    w = windowed(stream_table(spark, sf, "events"), "ts", "2 days", {"s": theta.sketch("user_id", 20), "n": F.count("*")}, slide="1 day")
+    return drained(w).select(F.col("window.start").cast("date").cast("timestamp_ntz").alias("day"), "n", F.theta_sketch_estimate("s").alias("users"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, count(DISTINCT k) AS sessions, count(*) AS n FROM s GROUP BY user_id"""
+)
+def stream_sessions(spark, sf):
+    s = sessions(stream_table(spark, sf, "events"), "ts", "6 hours", {"n": F.count("*")}, ["user_id"])
+    return drained(s).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
 @query("SELECT date_trunc('day', ts)::DATE AS day, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
 def stream_windowed_distinct(spark, sf):
     w = windowed(stream_table(spark, sf, "events"), "ts", "1 day", {"s": theta.sketch("user_id", 20), "n": F.count("*")})
@@ -493,10 +681,14 @@ def stream_windowed_quantile(spark, sf):
     return drained(w).select("event_type", F.col("window.start").cast("date").alias("day"), quantiles.kll_quantiles("s", [0.5])[0].alias("median"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high, true AS near FROM events GROUP BY user_id")
 def stream_running_digest(spark, sf):
-    """A t-digest per user, kept as state."""
-    return drained(running(stream_table(spark, sf, "events"), "value", ["user_id"]), "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    """A t-digest per user, kept as state; its ends are exact and its median has nearly half of the values below."""
+    got = drained(running(stream_table(spark, sf, "events"), "value", ["user_id"]), "update").groupBy("user_id").agg(F.max_by(F.struct("n", "sketch"), "n").alias("x"))
+    q = got.select("user_id", "x.n", quantiles.quantile("x.sketch", [0.0, 0.5, 1.0], "tdigest").alias("q"))
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("u"), "value")
+    true = ev.join(q, F.col("u") == F.col("user_id")).groupBy("user_id").agg(F.first("n").alias("n"), F.first(F.col("q")[0]).alias("low"), F.first(F.col("q")[2]).alias("high"), F.avg((F.col("value") <= F.col("q")[1]).cast("double")).alias("r"))
+    return true.select("user_id", "n", "low", "high", (F.abs(F.col("r") - 0.5) <= 0.02 + 1 / F.col("n")).alias("near"))
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")

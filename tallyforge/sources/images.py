@@ -11,6 +11,8 @@ import struct
 
 import numpy as np
 
+from tallyforge.kernels.quantile import Kll
+
 from tallyforge.kernels.hashing import SEED, seed_hash
 
 __all__ = ["ITEMS", "bloom_from_image", "bloom_image", "count_min_from_image", "count_min_image", "frequency_from_image", "frequency_image", "reservoir_from_image", "reservoir_image", "theta_to_image", "tuple_from_image", "tuple_image", "varopt_from_image", "varopt_image"]
@@ -208,3 +210,110 @@ def varopt_from_image(data: bytes, items: str = "long") -> tuple[list[tuple], li
     names, at = get(data, at, h)
     light, _ = get(data, at, r) if r else ([], at)
     return list(zip(names, weights, strict=True)), light, total, k, n
+
+
+_HLL_TYPES = {4: 0, 6: 1, 8: 2}
+_ADDRESS = (1 << 26) - 1
+
+
+def _registers_of(coupons: np.ndarray, lg_k: int) -> np.ndarray:
+    out = np.zeros(1 << lg_k, np.uint8)
+    np.maximum.at(out, coupons & _ADDRESS & ((1 << lg_k) - 1), (coupons >> 26).astype(np.uint8))
+    return out
+
+
+def hll_from_image(data: bytes) -> dict:
+    """lg_k, bits (4, 6 or 8 a register), registers, and the running (HIP) estimate, None after merges or below registers.
+
+    Lists and sets of coupons become the registers that they stand for.
+    """
+    _expect(data, 1, 7)
+    lg_k, flags, mode = data[3], data[5], data[7] & 3
+    bits = (4, 6, 8)[data[7] >> 2 & 3]
+    out = {"lg_k": lg_k, "bits": bits, "hip": None}
+    if flags & 4:
+        return out | {"registers": np.zeros(1 << lg_k, np.uint8), "hip": 0.0}
+    if mode < 2:
+        n, at = (data[6], 8) if mode == 0 else (int.from_bytes(data[8:12], "little"), 12)
+        held = np.frombuffer(data, "<u4", n if flags & 8 else 1 << data[4], at)
+        return out | {"registers": _registers_of(held[held > 0].astype(np.int64), lg_k)}
+    hip, _, _, _, n_aux = struct.unpack_from("<dddii", data, 8)
+    k = 1 << lg_k
+    if bits == 8:
+        r = np.frombuffer(data, np.uint8, k, 40).copy()
+    elif bits == 6:
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, k * 3 // 4, 40), bitorder="little").reshape(k, 6)
+        r = np.packbits(flat, axis=1, bitorder="little").ravel()
+    else:
+        two = np.frombuffer(data, np.uint8, k // 2, 40)
+        r = np.stack([two & 15, two >> 4], axis=1).ravel()
+        above = r == 15
+        r = r + np.uint8(data[6])
+        size = n_aux if flags & 8 else 1 << data[4]
+        aux = np.frombuffer(data, "<u4", size, 40 + k // 2)
+        aux = aux[aux > 0].astype(np.int64)
+        r[above] = 0
+        r[aux & _ADDRESS & (k - 1)] = aux >> 26
+    return out | {"registers": r, "hip": None if flags & 16 else hip}
+
+
+def hll_image(registers: np.ndarray, bits: int = 8, estimate: float | None = None) -> bytes:
+    """Registers as an image of 4, 6 or 8 bits each; without an estimate it is marked as merged."""
+    r = np.asarray(registers, np.uint8)
+    k = len(r)
+    if not r.any():
+        return struct.pack("<8B", 2, 1, 7, k.bit_length() - 1, 3, 4 | 8, 0, _HLL_TYPES[bits] << 2)
+    low = int(r.min()) if bits == 4 else 0
+    terms = np.ldexp(1.0, -r.astype(np.int64))
+    aux = np.zeros(0, np.int64)
+    if bits == 8:
+        body = r.tobytes()
+    elif bits == 6:
+        flat = np.unpackbits(r[:, None], axis=1, count=6, bitorder="little")
+        body = np.packbits(flat, bitorder="little").tobytes() + b"\0"
+    else:
+        over = r - low
+        aux = np.flatnonzero(over > 14)
+        over = np.minimum(over, 15).reshape(-1, 2)
+        body = (over[:, 0] | over[:, 1] << 4).astype(np.uint8).tobytes() + (aux | r[aux].astype(np.int64) << 26).astype("<u4").tobytes()
+    lg_aux = max(2, int(np.ceil(np.log2(max(1, len(aux)) * 4 / 3)))) if bits == 4 else 0
+    head = struct.pack("<8B", 10, 1, 7, k.bit_length() - 1, lg_aux, 8 | (16 if estimate is None else 0), low, 2 | _HLL_TYPES[bits] << 2)
+    return head + struct.pack("<dddii", estimate or 0.0, float(terms[r < 32].sum()), float(terms[r >= 32].sum()), int((r == low).sum()), len(aux)) + body
+
+
+def _kll_room(k: int, levels: int, m: int = 8) -> int:
+    """Items that so many levels have room for: k at the top, two thirds of it one below, and so on, m at least."""
+    return sum(max(m, ((2 * k << d) // 3**d + 1) // 2) for d in range(levels))
+
+
+def kll_image(s: Kll) -> bytes:
+    """A summary of doubles; levels lie one after the other, lowest first."""
+    if s.n == 0:
+        return struct.pack("<4BHBx", 2, 1, 15, 1, s.k, 8)
+    levels = [sorted(x) for x in s.levels]
+    if s.n == 1:
+        return struct.pack("<4BHBxd", 2, 2, 15, 4, s.k, 8, levels[0][0])
+    sizes = [len(x) for x in levels]
+    while (room := _kll_room(s.k, len(sizes))) < sum(sizes):
+        sizes.append(0)
+    at = room - sum(sizes) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    head = struct.pack("<4BHBxqHBx", 5, 1, 15, 2, s.k, 8, s.n, s.min_k, len(sizes))
+    return head + at.astype("<i4").tobytes() + struct.pack("<dd", s.low, s.high) + np.array([x for level in levels for x in level], "<f8").tobytes()
+
+
+def kll_from_image(data: bytes) -> Kll:
+    if data[2] != 15 or data[1] not in (1, 2):
+        raise ValueError("not a summary of quantiles")
+    k, flags = struct.unpack_from("<H", data, 4)[0], data[3]
+    out = Kll(k)
+    if flags & 1:
+        return out
+    if flags & 4:
+        return out.extend(struct.unpack_from("<d", data, 8))
+    out.n, out.min_k, levels = struct.unpack_from("<qHB", data, 8)
+    at = np.frombuffer(data, "<i4", levels, 20)
+    out.low, out.high = struct.unpack_from("<dd", data, 20 + 4 * levels)
+    items = np.frombuffer(data, "<f8", offset=36 + 4 * levels)
+    ends = [*(at[1:] - at[0]).tolist(), len(items)]
+    out.levels = [items[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+    return out

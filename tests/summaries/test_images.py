@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
+from tallyforge.kernels.quantile import Kll
 from tallyforge.sources import images
 from tallyforge.sources.store import theta_image
 
@@ -47,3 +48,33 @@ def test_count_min_and_bloom():
         assert images.bloom_from_image(images.bloom_image(bits, 128, 5)) == (bits, 128, 5, 9001)
     with pytest.raises(ValueError):
         images.bloom_from_image(b"\0" * 40)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 60, 300, 5000])
+def test_hll_images_of_spark(spark, n):
+    """Spark's image says what Spark says, and its registers in an image of ours give Spark the same estimate as a union."""
+    row = spark.range(n).agg(F.hll_sketch_agg("id", 9).alias("s"), F.hll_sketch_estimate(F.hll_sketch_agg("id", 9)).alias("e")).first()
+    got = images.hll_from_image(bytes(row.s))
+    assert got["lg_k"] == 9 and (got["hip"] is None or round(got["hip"]) == row.e)
+    merged = spark.createDataFrame([(bytes(row.s),)] * 2, "s binary").agg(F.hll_union_agg("s").alias("s"))
+    want = merged.select(F.hll_sketch_estimate("s")).first()[0]
+    for bits in (4, 6, 8):
+        data = images.hll_image(got["registers"], bits)
+        assert (images.hll_from_image(data)["registers"] == got["registers"]).all()
+        e = spark.createDataFrame([(data,)], "s binary").select(F.hll_sketch_estimate("s")).first()[0]
+        assert e == want if n > 100 else abs(e - n) <= max(1, 0.05 * n)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 1000, 50_000])
+def test_kll_images_of_spark(spark, n):
+    data = bytes(spark.range(n).select(F.col("id").cast("double").alias("x")).agg(F.kll_sketch_agg_double("x", F.lit(200)).alias("s")).first().s)
+    own = images.kll_from_image(data)
+    assert own.n == n
+    back = images.kll_image(own)
+    if not n:
+        return
+    ranks = [0.0, 0.01, 0.5, 0.9, 1.0]
+    asked = lambda d: spark.createDataFrame([(d,)], "s binary").select(F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(r) for r in ranks])), F.kll_sketch_get_n_double("s")).first()
+    assert asked(back) == asked(data) and asked(data)[0] == [own.quantile(r) for r in ranks]
+    mine = Kll(100).extend([float(x) for x in range(n)])
+    assert abs(asked(images.kll_image(mine))[0][2] - n / 2) <= max(1, 0.05 * n)
