@@ -7,9 +7,11 @@ seen for this place already is a cycle and ends there. Every layer knows which c
 of the original text each of its own came from, so spans are always in code points of the
 text that was given.
 
-Compressed data are unpacked up to MAX_UNPACKED characters for a document; where they
-would go beyond (a decompression bomb), the place is reported as a span of kind "packed"
-instead, so nothing is passed over in silence.
+Every character of compressed data comes from all of their place, so which kinds they hold is all
+that counts. Where a document's data unpack to more than IN_MEMORY bytes, they are read as a stream,
+through all compressions around each other, in windows that overlap, each searched like a
+text of its own. No size ends that. Only data packed DEEPEST times, or compressed data inside such a
+stream that a window cuts off, are reported as a span of kind "packed", beside what was found.
 
 Defined results: null text is an empty text; an empty text has no spans and the hash of the
 empty string; texts of any length are scanned whole; repeated rows each get their row; an
@@ -20,10 +22,13 @@ from __future__ import annotations
 
 import base64
 import bz2
+import gzip
 import hashlib
+import io
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.common import map_batches, only, read_table, texts_of
 
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 64 << 20
+#: Bytes that a document's compressed data may take at once; windows of streams and their overlap.
+IN_MEMORY, WINDOW, OVERLAP = 64 << 20, 4 << 20, 256 << 10
+DEEPEST = 64
+_NAMES = (*KINDS, "packed")
+_ORDER = {k: i for i, k in enumerate(_NAMES)}
 #: base64 runs from so many characters on are tried.
 MIN_BASE64 = 16
 
@@ -196,6 +205,95 @@ def _stream(data, at: int, most: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(d.unused_data)
 
 
+def _reader(raw: io.BufferedReader) -> io.BufferedReader | None:
+    """What unpacks the compressed data that a stream starts with, members and frames one after the other."""
+    head = raw.peek(6)[:6]
+    if head[:2] == b"\x1f\x8b":
+        out = gzip.GzipFile(fileobj=raw)
+    elif head[:3] == b"BZh":
+        out = bz2.BZ2File(raw)
+    elif head == b"\xfd7zXZ\x00":
+        out = lzma.LZMAFile(raw)
+    elif head[:4] == b"\x28\xb5\x2f\xfd" or (head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5):
+        import zstandard
+
+        out = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+    elif len(head) > 2 and head[0] == 0x78 and int.from_bytes(head[:2], "big") % 31 == 0:
+        out = _Zlib(raw)
+    else:
+        return None
+    return io.BufferedReader(out, 1 << 16)
+
+
+class _Zlib(io.RawIOBase):
+    """zlib data as a stream."""
+
+    def __init__(self, raw: io.BufferedReader):
+        self.raw, self.d, self.rest = raw, zlib.decompressobj(), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while not self.d.eof:
+            data = self.rest or self.raw.read(1 << 16)
+            if not data:
+                break
+            out = self.d.decompress(data, len(room))
+            self.rest = self.d.unconsumed_tail
+            if out:
+                room[: len(out)] = out
+                return len(out)
+        return 0
+
+
+def _windows(data, at: int) -> Iterator[bytes | None]:
+    """Overlapping windows of what compressed data hold, through all compressions; None where those do not end."""
+    stream, depth = io.BufferedReader(io.BytesIO(bytes(data[at:]))), 0
+    try:
+        while (inner := _reader(stream)) is not None:
+            stream, depth = inner, depth + 1
+            if depth > DEEPEST:
+                yield None
+                return
+    except Exception:  # what looked like a start was none
+        pass
+    before = b""
+    while True:
+        parts, size = [before], len(before)
+        try:
+            while size < WINDOW and (one := stream.read1(1 << 16)):
+                parts.append(one)
+                size += len(one)
+            end = size < WINDOW
+        except Exception:  # damaged or cut off: what came before counts
+            end = True
+        whole = b"".join(parts)
+        yield whole
+        if end:
+            return
+        before = whole[-OVERLAP:]
+
+
+def _streamed(data, at: int) -> set[str]:
+    """The kinds that compressed data hold, at whatever depth and size."""
+    found: set[str] = set()
+    for window in _windows(data, at):
+        if window is None:
+            found.add("packed")
+        elif _WORTH.search(window):
+            found |= {k for _, k, _ in all_spans(window.decode("utf-8", "replace"))}
+            if any(_cut_off(window, m.start()) for m in _COMPRESSED.finditer(window)):
+                found.add("packed")
+    return found
+
+
+def _cut_off(window: bytes, at: int) -> bool:
+    """Whether compressed data at a place go on behind the window."""
+    got = _stream(window, at, IN_MEMORY) if len(window) >= WINDOW else None
+    return got is not None and len(got[0]) > 64 and got[1] >= len(window)
+
+
 def _members(data, at: int, most: int) -> tuple[list[bytes], int] | None:
     """What the members or frames from a place on hold, one after the other, and their end."""
     parts = []
@@ -225,9 +323,9 @@ def _opened(data, at: int, budget: list[int]) -> tuple[list[bytes], int] | None:
     return out, first[1]
 
 
-def _escaped(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer], list[tuple[int, int]]]:
-    """Layers for compressed bytes written as escapes, and as plain characters between those; places not unpacked."""
-    out, refused, t = [], [], layer.text
+def _escaped(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer], list[tuple[int, str, int]]]:
+    """Layers for compressed bytes written as escapes, and as plain characters between those; what streams held."""
+    out, told, t = [], [], layer.text
     for mark, magic, run, token in _BYTES:
         if mark not in t:
             continue
@@ -252,7 +350,7 @@ def _escaped(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer],
                 if k == len(at) or at[k] != a or (got := _opened(data, k, budget)) is None:
                     continue
             except OverflowError:
-                refused.append((a, end))
+                told += [(a, kind, end) for kind in _streamed(data, k)]
                 done = end
                 tried[key] = done - a
                 continue
@@ -261,7 +359,7 @@ def _escaped(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer],
             if not layer.text[a:done].isascii() or mark not in t[a:done]:
                 continue
             out += [_whole(layer, x.decode("utf-8", "replace"), a, done) for x in got[0]]
-    return out, refused
+    return out, told
 
 
 def _byte(token: re.Match) -> int:
@@ -278,11 +376,11 @@ def _whole(layer: Layer, text: str, a: int, b: int) -> Layer:
     return Layer(text, f, e)
 
 
-def _base64(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer], list[tuple[int, int]]]:
+def _base64(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer], list[tuple[int, str, int]]]:
     """Layers for what each run decodes to, from each of four alignments, and for what is
-    compressed in there; places not unpacked. Runs over several lines are tried as one, too.
+    compressed in there; what streams held. Runs over several lines are tried as one, too.
     """
-    out, refused, t = [], [], layer.text
+    out, told, t = [], [], layer.text
     runs = [(m[0], m.start(), None) for m in _BASE64.finditer(t)]
     for m in _WRAPPED.finditer(t):
         lines = [*_LINE.finditer(t, m.start(), m.end())]
@@ -312,7 +410,7 @@ def _base64(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer],
                         done = got[1]
                         out += [_whole(layer, x.decode("utf-8", "replace"), a, b) for x in got[0] if _WORTH.search(x)]
                 except OverflowError:
-                    refused.append((a, b))
+                    told += [(a, kind, b) for kind in _streamed(data, m.start())]
                     break
             if not _WORTH.search(data):
                 continue
@@ -329,14 +427,13 @@ def _base64(layer: Layer, budget: list[int], tried: dict) -> tuple[list[Layer],
             if layer.first is not None:
                 f, e = layer.first[f], layer.last[e - 1]
             out.append(Layer(text, f, e))
-    return out, refused
+    return out, told
 
 
-def all_spans(text: str, most: int = MAX_UNPACKED) -> list[tuple[int, str, int]]:
+def all_spans(text: str, most: int | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of base spans and of those in decoded layers, sorted, each once."""
     found = {(a, k, b) for a, k, b in base_spans(text)}
-    refused: set[tuple[int, int]] = set()
-    budget = [most]
+    budget = [IN_MEMORY if most is None else most]
     # runs by content and place, so that one that several layers show is opened and charged once
     tried: dict[tuple, int] = {}
     work, seen = [Layer(text)], set()
@@ -346,7 +443,9 @@ def all_spans(text: str, most: int = MAX_UNPACKED) -> list[tuple[int, str, int]]
         new = [x for x in (_percent(layer) if "%" in t else None, _unicode(layer) if "\\" in t else None) if x is not None]
         inner, no = _base64(layer, budget, tried)
         more, also = _escaped(layer, budget, tried)
-        refused.update(layer.span(*s) for s in (*no, *also))
+        for a, kind, b in (*no, *also):
+            i, j = layer.span(a, b)
+            found.add((i, _ORDER[kind], j))
         for x in [*new, *inner, *more]:
             if not x.text:
                 continue
@@ -359,8 +458,7 @@ def all_spans(text: str, most: int = MAX_UNPACKED) -> list[tuple[int, str, int]]
             for a, k, b in base_spans(x.text):
                 i, j = x.span(a, b)
                 found.add((i, k, j))
-    out = [(a, KINDS[k], b) for a, k, b in sorted(found)]
-    return sorted([*out, *((a, "packed", b) for a, b in refused)], key=lambda s: s[0]) if refused else out
+    return [(a, _NAMES[k], b) for a, k, b in sorted(found)]
 
 
 def joined(spans) -> str:

@@ -204,7 +204,44 @@ def test_secrets_end_on_cycles_and_bombs():
     text = "%2525252525"
     assert secrets.all_spans(text) == []
     bomb = b64(zlib.compress(b"\0" * (1 << 22)))
-    assert secrets.all_spans(bomb, most=1 << 20) == [(0, "packed", len(bomb))]
+    assert secrets.all_spans(bomb, most=1 << 20) == []
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: zstandard.ZstdCompressor().compress(x), lambda x: gzip.compress(b"first") + gzip.compress(x), lambda x: gzip.compress(bz2.compress(x))])
+def test_large_contents_are_streamed(pack, monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 18)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 14)
+    content = b"\0" * ((1 << 21) + 77) + b" " + KEY.encode() + b" " + b64(b"say token=abcdefgh now").encode() + b" " + b"\0" * (1 << 20)
+    for text in (b64(pack(content)), "".join(f"%{b:02X}" for b in pack(content))):
+        spans = secrets.all_spans("x " + text, most=1 << 20)
+        # zstd keeps literals as they are, in which base64 is found on its own as well
+        assert {(2, "assign", 2 + len(text)), (2, "access", 2 + len(text))} <= {*spans} and all(2 <= a < b <= 2 + len(text) and k != "packed" for a, k, b in spans)
+
+
+def test_secrets_at_random_depths():
+    import random
+
+    layers = [
+        lambda t: urllib.parse.quote(t, safe=""),
+        lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: b64(t.encode()),
+        lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+        lambda t: b64(gzip.compress(t.encode())),
+        lambda t: b64(lzma.compress(t.encode())),
+        lambda t: b64(zstandard.ZstdCompressor().compress(zlib.compress(t.encode()))),
+    ]
+    for seed in range(60):
+        rnd = random.Random(seed)
+        inner = f"at {KEY} é"
+        for _ in range(rnd.randint(1, 5)):
+            inner = rnd.choice(layers)(inner)
+            if len(inner) > 20_000:
+                break
+        before = prose(seed, rnd.randint(0, 30)) + " "
+        spans = secrets.all_spans(before + inner + " end")
+        assert any(k == "access" and a >= len(before) and b <= len(before) + len(inner) for a, k, b in spans), seed
+        assert all(a >= len(before) for a, k, b in spans if k == "access")
 
 
 def test_secrets_query(spark, sf, rows):
