@@ -5,8 +5,8 @@ and each document is taken floor(rate) times plus once more with the probability
 fraction, decided by a hash of its id. Only one row per source ever leaves the aggregation.
 
 Defined results: null text counts 0 words; a null source is a source of its own, last in
-order; a null id hashes like the text "null"; rows that repeat an id share its draw; an
-empty table gives an empty result; a source without words has target 0 and is taken 0
+order; a row without an id draws by its text; rows that repeat an id (or, without one, a text)
+share its draw; an empty table gives an empty result; a source without words has target 0 and is taken 0
 times. Other columns of the input are carried or ignored, under whatever names.
 """
 
@@ -66,9 +66,9 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int =
     return flagged.select("source", "source_size", target.alias("target")).select("*", rate.alias("rate"))
 
 
-def copies_of(doc_id: Column, rate: Column, seed: str = "mix") -> Column:
-    """floor(rate), and one more if the id's hash falls below the fraction."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def copies_of(doc_id: Column, text: Column, rate: Column, seed: str = "mix") -> Column:
+    """floor(rate), and one more if the hash of the id, or of the text of a row without one, falls below the fraction."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))))
     draw = F.conv(F.substring(F.md5(name), 1, _BITS // 4), 16, 10).cast("long")
     whole = F.floor(rate).cast("long")
     more = draw.cast("double") < (rate - whole.cast("double")) * F.lit(float(1 << _BITS))
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     sizes = docs.select(docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
     rates = written(source_targets(sizes, weights, share, cap), "rates").select(F.col("source").alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     joined = docs.join(checked_broadcast(rates, MOST_BROADCAST_SOURCES), docs[source_col].eqNullSafe(rates["__src"]))
-    return joined.withColumns({"__size": word_count(docs[text_col]), "__copies": copies_of(docs[id_col], F.col("__rate"), seed)}).drop("__src", "__rate")
+    return joined.withColumns({"__size": word_count(docs[text_col]), "__copies": copies_of(docs[id_col], docs[text_col], F.col("__rate"), seed)}).drop("__src", "__rate")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -96,7 +96,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -119,7 +119,7 @@ WITH d AS (
 ), x AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
-    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS draw
+    ('0x' || substr(md5('mix:' || d.name), 1, 13))::BIGINT AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
