@@ -7,8 +7,8 @@
    are candidates. At similarity 0.8 all BANDS differ with probability 5e-8. A bucket makes
    an edge from each member to its least, so a bucket of any size costs as many rows as it has
    members; connected candidates are a family.
-3. Families are dealt in blocks of BLOCK members, and every two blocks of a family meet in
-   one task. There MinHash values are compared STEP at a time; a pair is dropped as soon as
+3. Families are dealt in blocks of about BLOCK members and BLOCK_BYTES of text, and every two
+   blocks of a family meet in one task. There MinHash values are compared STEP at a time; a pair is dropped as soon as
    the posterior probability that its similarity reaches the threshold (uniform prior, so a
    binomial tail) is below TOLERANCE; the others' shingle sets are intersected exactly. A
    task returns, per member, how many documents it links to and one edge to its group in
@@ -45,7 +45,8 @@ SHINGLE, THRESHOLD = 5, (4, 5)
 ROWS, BANDS = 4, 32
 HASHES, STEP = ROWS * BANDS, 16
 TOLERANCE = 1e-6
-BLOCK = 512
+#: A block holds about so many members and so many bytes of text; one longer text is a block of its own.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(1, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -182,21 +183,23 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], sx: np.ndarray, sy: np.ndar
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, sig) of (doc_id, th, text), written. fp is null for a text without words."""
+    """(doc_id, th, fp, sig, size) of (doc_id, th, text), written. fp is null for a text without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, sigs = [], []
+            fps, sigs, sizes = [], [], []
             for piece in sliced(batch, 1 << 20):
-                sets = shingles(texts_of(piece))
+                texts = texts_of(piece)
+                sets = shingles(texts)
+                sizes += map(len, texts)
                 fps += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sigs += [r.tobytes() for r in minhash(sets)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "th", "fp", "sig"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "th", "fp", "sig", "size"])
 
         return f
 
-    return written(map_batches(docs.select("doc_id", "th", "text"), make, f"doc_id {kind}, th long, fp binary, sig binary"), "signatures")
+    return written(map_batches(docs.select("doc_id", "th", "text"), make, f"doc_id {kind}, th long, fp binary, sig binary, size long"), "signatures")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -248,8 +251,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
     signed = signatures(rows)
-    one = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    reps = written(one.select("fp", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "copies", "sig").withColumn("rid", F.monotonically_increasing_id()), "representatives")
+    one = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.max("size").alias("size"))
+    reps = written(one.select("fp", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "copies", "sig", "size").withColumn("rid", F.monotonically_increasing_id()), "representatives")
 
     def bands():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -262,10 +265,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # written first: a join straight from tables is one whose hot keys Spark can split
     least = written(banded.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "b"), "buckets")
     families = connected(banded.join(least, "key").select(F.col("rid").alias("a"), "b"))
-    families = written(families.select(F.col("id").alias("rid"), F.col("root").alias("family")), "families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = reps.join(families, "rid").join(sizes, "family").select("rid", "family", "rep", "th", "copies", "sig", blocks.alias("n")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
+    families = written(reps.join(families.select(F.col("id").alias("rid"), F.col("root").alias("family")), "rid"), "families")
+    sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where(F.col("m") > 1)
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.least(F.col("m"), F.col("bytes") / BLOCK_BYTES))).cast("int")
+    members = families.join(sizes, "family").select("rid", "family", "rep", "th", "copies", "sig", blocks.alias("n")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
     texts = rows.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "text")
     found = members.join(texts, (members["th"] == texts["t_th"]) & members["rep"].eqNullSafe(texts["t_id"])).drop("t_id", "t_th")
     meet = found.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "copies", "sig", "text")
