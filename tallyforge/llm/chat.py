@@ -11,7 +11,9 @@ walk, done by a range partitioning and a sort. A task walks its range with the c
 in hand and writes each node once into a pack, a bounded sequence of characters: text, and
 per node its start, end, parent and first position id (positions count along the
 conversation, so siblings share them), plus the ancestor intervals that its characters may
-attend besides earlier ones of their own node. Where a pack is full the next one repeats the
+attend besides earlier ones of their own node. The same is given in token ids: each node's
+tokens stand once in the pack, with their places, position ids, ancestor intervals and loss; the
+text stays beside them, since a vocabulary that lowers letters cannot give it back. Where a pack is full the next one repeats the
 current path, so a first turn shared by a third of all conversations costs one repeat a
 pack and no task gathers a whole tree.
 
@@ -25,13 +27,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import only, read_table, written
+from tallyforge.llm.tokens import encoder, vocabulary_path
 
 MARK, END = "### ", "</turn>"
 #: A pack is closed at so many characters (a longer path has one of its own) or members.
@@ -71,13 +75,53 @@ def parsed(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-NODE = "struct<start: int, end: int, parent: int, position: int, attends: array<struct<start: int, end: int>>, loss_start: int, loss_end: int>"
-PACK = f"text string, nodes array<{NODE}>, members array<struct<conv_id: long, node: int>>"
+NODE = "struct<start: int, end: int, parent: int, position: int, attends: array<struct<start: int, end: int>>, loss_start: int, loss_end: int, token_start: int, token_end: int, token_position: int, token_attends: array<struct<start: int, end: int>>, loss_token_start: int, loss_token_end: int>"
+PACK = f"text string, nodes array<{NODE}>, members array<struct<conv_id: long, node: int>>, tokens array<int>"
 _INTERVAL = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_NODE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(_INTERVAL)), ("loss_start", pa.int32()), ("loss_end", pa.int32())])
+_NODE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(_INTERVAL)), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("token_start", pa.int32()), ("token_end", pa.int32()), ("token_position", pa.int32()), ("token_attends", pa.list_(_INTERVAL)), ("loss_token_start", pa.int32()), ("loss_token_end", pa.int32())])
 _MEMBER = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
 
 
+def _and_own(attends: list[dict], start: int, end: int) -> list[dict]:
+    """A node's ancestor intervals and its own, as one where they lie end to end."""
+    if attends and attends[-1]["end"] == start:
+        return [*attends[:-1], {"start": attends[-1]["start"], "end": end}]
+    return [*attends, {"start": start, "end": end}]
+
+
+def with_tokens(pack: dict, encode: Callable[[list[str]], list[list[int]]]) -> dict:
+    """The pack with the token ids of every node, once, and each node's token place, position and intervals.
+
+    What comes before the loss, the loss, and what comes after are encoded each by itself, so that the loss is
+    whole tokens.
+    """
+    parts = []
+    for n in pack["nodes"]:
+        ends = [n["start"], n["end"]] if n["loss_start"] is None else [n["start"], n["loss_start"], n["loss_end"], n["end"]]
+        parts.append([pack["text"][a:b] for a, b in zip(ends, ends[1:], strict=False)])
+    ids = iter(encode([x for p in parts for x in p]))
+    tokens: list[int] = []
+    for n, p in zip(pack["nodes"], parts, strict=True):
+        own = [next(ids) for _ in p]
+        up = pack["nodes"][n["parent"]] if n["parent"] >= 0 else None
+        n["token_start"] = len(tokens)
+        n["token_position"] = 0 if up is None else up["token_position"] + up["token_end"] - up["token_start"]
+        n["token_attends"] = [] if up is None else _and_own(up["token_attends"], up["token_start"], up["token_end"])
+        n["loss_token_start"], n["loss_token_end"] = (None, None) if len(p) == 1 else (len(tokens) + len(own[0]), len(tokens) + len(own[0]) + len(own[1]))
+        for x in own:
+            tokens += x
+        n["token_end"] = len(tokens)
+    return pack | {"tokens": tokens}
+
+
+def conversation_tokens(pack: dict, node: int) -> list[int]:
+    """A member's token ids, from what its last node attends and itself."""
+    if node < 0:
+        return []
+    n = pack["nodes"][node]
+    return [t for iv in _and_own(n["token_attends"], n["token_start"], n["token_end"]) for t in pack["tokens"][iv["start"] : iv["end"]]]
+
+
 class Packer:
     """Writes conversations that come in the order of their paths."""
 
@@ -104,10 +148,7 @@ class Packer:
         for turn, (text, a, b) in zip(turns[shared:], new, strict=True):
             parent = self.path[-1][1] if self.path else -1
             up = self.nodes[parent] if self.path else None
-            attends = [] if up is None else [*up["attends"], {"start": up["start"], "end": up["end"]}]
-            # one interval where ancestors lie end to end
-            if len(attends) > 1 and attends[-2]["end"] == attends[-1]["start"]:
-                attends[-2:] = [{"start": attends[-2]["start"], "end": attends[-1]["end"]}]
+            attends = [] if up is None else _and_own(up["attends"], up["start"], up["end"])
             position = 0 if up is None else up["position"] + up["end"] - up["start"]
             loss = (self.size + a, self.size + b) if turn[0] == "assistant" else (None, None)
             self.nodes.append({"start": self.size, "end": self.size + len(text), "parent": parent, "position": position, "attends": attends, "loss_start": loss[0], "loss_end": loss[1]})
@@ -154,8 +195,9 @@ def conversation(pack: dict, node: int) -> tuple[str, list[tuple[int, int]]]:
     return "".join(text), losses
 
 
-def packs(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """The formatted output: PACK rows, written."""
+def packs(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """The formatted output: PACK rows, written. vocabulary: a tokenizer's file."""
+    vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
     c = only(conversations, c=conv_col, n=turn_col, r=role_col, t=text_col)
     empty = F.lit("")
     turn = F.struct(F.col("n").cast("long").alias("n"), F.coalesce("r", empty).alias("r"), F.coalesce("t", empty).alias("t"))
@@ -165,10 +207,11 @@ def packs(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     keyed = whole.withColumn("path", F.array_join(F.transform(path, lambda h: F.substring(h, 1, 24)), ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer()
+        packer, code = Packer(), encoder(vocabulary)
 
         def row(p: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p["text"]], pa.string()), pa.array([p["nodes"]], pa.list_(_NODE)), pa.array([p["members"]], pa.list_(_MEMBER))], ["text", "nodes", "members"])
+            p = with_tokens(p, lambda texts: [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)])
+            return pa.RecordBatch.from_arrays([pa.array([p["text"]], pa.string()), pa.array([p["nodes"]], pa.list_(_NODE)), pa.array([p["members"]], pa.list_(_MEMBER)), pa.array([p["tokens"]], pa.list_(pa.int32()))], ["text", "nodes", "members", "tokens"])
 
         for batch in batches:
             for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -430,6 +430,34 @@ def test_prefix_tree(most):
         assert len(packs) == 1 and packs[0]["text"].count("### user: hi") == 2
 
 
+def test_chat_tokens():
+    packer, packs = chat.Packer(400, 5), []
+    for c, turns in enumerate(sorted(TURNS * 2, key=str)):
+        packs.append(packer.add(c, turns))
+    encode = lambda texts: [expected_ids(t) for t in texts]
+    seen = {}
+    for p in [chat.with_tokens(p, encode) for p in [*packs, packer.close()] if p]:
+        # every node's tokens stand once
+        assert [n["token_start"] for n in p["nodes"]] == [0, *(n["token_end"] for n in p["nodes"])][:-1] or not p["nodes"]
+        for m in p["members"]:
+            seen[m["conv_id"]] = chat.conversation_tokens(p, m["node"])
+        for n in p["nodes"]:
+            if n["loss_start"] is not None:
+                assert p["tokens"][n["loss_token_start"] : n["loss_token_end"]] == expected_ids(p["text"][n["loss_start"] : n["loss_end"]])
+            assert n["token_position"] == sum(x["end"] - x["start"] for x in n["token_attends"])
+    for c, turns in enumerate(sorted(TURNS * 2, key=str)):
+        want = []
+        for r, t in turns:
+            whole, a, b = chat.formatted(r, t)
+            for x in [whole[:a], whole[a:b], whole[b:]] if r == "assistant" else [whole]:
+                want += expected_ids(x)
+        assert seen[c] == want
+
+
+def test_chat_without_rows(spark, empty_sf):
+    assert [r.conv_id for r in chat.op10_chat(spark, empty_sf).collect()] == [-7]
+
+
 def test_chat_query(spark, tmp_path):
     rows = [(c, i, r, t) for c, turns in enumerate(TURNS) for i, (r, t) in enumerate(turns)]
     rows += [(50, 1, "user", "again"), (50, 1, "user", "again"), (50, None, None, None), (None, 0, "assistant", "no id")]
