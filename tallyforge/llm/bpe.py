@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import new_path, only, read_table, sliced, written
+from tallyforge.llm.common import drop_written, new_path, only, read_table, sliced, written
 from tallyforge.llm.tokens import SAFE_CLASS, SPACES, SPECIAL, WORDS, encode_words, id_type, tokenizer, vocabulary_path, vocabulary_size
 
 #: Words that every task holds: at most so many, of at most so many characters.
@@ -126,9 +126,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     # stored by part: the join below then moves words and ids, not documents
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"parts_{uuid.uuid4().hex}"
+    name, path_of_parts = f"parts_{uuid.uuid4().hex}", new_path(spark, "parts")
     made = rows.select("doc_id", split_words(F.col("text")).alias("words")).mapInArrow(_make_parts, f"{PART}, docs array<{id_name}>")
-    made.write.format("parquet").option("path", new_path(spark, "parts")).option("compression", "zstd").bucketBy(n, "part").saveAsTable(name)
+    made.write.format("parquet").option("path", path_of_parts).option("compression", "zstd").bucketBy(n, "part").saveAsTable(name)
     parts = spark.table(name)
 
     words = word_table(parts, path)
@@ -159,7 +159,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([doc_ids.values, *out], ["doc_id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids",))])
 
     schema = f"doc_id {id_name}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return joined.select("words", "sizes", "codes", "docs", "got").mapInArrow(finish, schema)
+    done = written(joined.select("words", "sizes", "codes", "docs", "got").mapInArrow(finish, schema), "encoded")
+    spark.sql(f"DROP TABLE {name}")
+    parts._written_to = path_of_parts
+    drop_written(parts, words)
+    return done
 
 
 def _ids(ids: list[bytes], codes: np.ndarray, to: list[int], dtype: np.dtype) -> list[pa.Array]:
