@@ -5,8 +5,8 @@ keeps the least and greatest value of every dimension and a forward index, the m
 vectors. A query's bound for a block is the sum over the dimensions of the most that the
 dimension can add. A task holds the blocks of one shard and, for a block of queries at a
 time, takes them in order of falling bound; a query stops as soon as the next bound lies
-below the k-th score it has (equal scores still count, since the smaller id wins a tie).
-The k best of each shard then meet per query.
+below the k-th score it has (equal scores still count, since the smaller id wins a tie). One
+shard is searched first, and its k-th scores are floors in every other. The k best of each shard then meet per query.
 
 Query blocks go to every shard (a stated query set against all rows, in blocks); a shard's
 answers are at most k rows a query.
@@ -34,10 +34,10 @@ _SALTS = 16
 _MOST = (1 << 63) - 1
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[int, int, int]], int]:
+def best(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, known: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
     """(query row, id, score) of each query's k best, and how many vectors were scored.
 
-    blocks: (ids, matrix) pairs. Sums must be exact in doubles, or the arrays hold Python ints.
+    blocks: (ids, matrix) pairs. known: for each query a score that k vectors somewhere reach. Sums must be exact in doubles, or the arrays hold Python ints.
     """
     high = np.stack([m.max(axis=0) for _, m in blocks])
     low = np.stack([m.min(axis=0) for _, m in blocks])
@@ -45,6 +45,8 @@ def best(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.nda
     bounds = np.maximum(q, zero) @ high.T + np.minimum(q, zero) @ low.T
     order = np.argsort(-bounds, axis=1, kind="stable")
     floor = np.full(len(q), -np.inf) if q.dtype != object else np.array([-(10**400)] * len(q), object)
+    if known is not None:
+        floor = np.maximum(floor, known.astype(floor.dtype))
     found: list[tuple[list, list]] = [([], []) for _ in q]
     active, scored = np.arange(len(q)), 0
     for step in range(len(blocks)):
@@ -66,10 +68,24 @@ def best(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.nda
                 top = np.lexsort((i, -v))[:k] if v.dtype != object else np.array(sorted(range(len(i)), key=lambda x: (-v[x], i[x]))[:k])
                 found[r] = (i[top], v[top])
                 if len(top) == k:
-                    floor[r] = v[top][-1]
+                    floor[r] = max(floor[r], v[top][-1])
     return [(r, int(i), max(-_MOST - 1, min(_MOST, int(v)))) for r, (ids, vs) in enumerate(found) for i, v in zip(ids, vs, strict=True)], scored
 
 
+def _matrices(d: int, q_ids: bytes, q_data: bytes, ids: bytes, data: bytes, scale: int) -> tuple[np.ndarray, ...]:
+    """(query ids, queries, ids, vectors) in whole numbers: as doubles where sums are exact, else as Python's."""
+    q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+    q = np.floor(np.frombuffer(q_data, "<f8").reshape(len(q_ids), d) * scale)
+    m = np.floor(np.frombuffer(data, "<f8").reshape(len(ids), d) * scale)
+    if float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(d, 1) >= 2.0**53:
+        q, m = (np.array([[int(x) for x in r] for r in y], object).reshape(len(y), d) for y in (q, m))
+    return q_ids, q, ids, m
+
+
+def _blocks(ids: np.ndarray, m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(ids[a : a + BLOCK], m[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score). is_query is a condition over __id."""
     rows = vectors.select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).cast("array<double>").alias("__v"))
@@ -97,27 +113,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     packed = "d int, ids binary, data binary"
     documents = written(dealt(fit, SHARD).mapInArrow(pack(SHARD), packed).withColumn("shard", F.monotonically_increasing_id()), "shards")
     queries = written(dealt(fit.where(is_query), QUERIES).mapInArrow(pack(QUERIES), packed), "queries")
+    # one shard of each length first: the k-th score there is a floor in all others
+    first = documents.groupBy("d").agg(F.min("shard").alias("shard"))
+    one = documents.join(first, ["d", "shard"]).select("d", "ids", "data")
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(batch.num_rows):
+                q_ids, q, ids, m = _matrices(*(batch.column(c)[j].as_py() for c in range(5)), scale)
+                known = np.full(len(q_ids), -np.inf)
+                if q.dtype != object:
+                    tops: dict[int, list[int]] = {}
+                    for r, _, v in best(q, q_ids, _blocks(ids, m), k)[0]:
+                        tops.setdefault(r, []).append(v)
+                    for r, v in tops.items():
+                        known[r] = v[-1] if len(v) == k else -np.inf
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(j, 1), batch.column(1).slice(j, 1), batch.column(2).slice(j, 1), pa.array([known.tobytes()], pa.binary())], ["d", "ids", "data", "known"])
+
+    asking = queries.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).join(one, "d").select("d", "q_ids", "q_data", "ids", "data")
+    queries = written(asking.mapInArrow(floors, "d int, ids binary, data binary, known binary"), "floors")
     # every query block to every shard of its length; salted, since all vectors may have one length
     places = documents.select("d", "shard", (F.xxhash64("shard") % _SALTS).alias("salt"))
     salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(1 - _SALTS, _SALTS)])).alias("salt")
-    asked = queries.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), salts)
+    asked = queries.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "known", salts)
     pairs = places.join(asked, ["d", "salt"]).join(documents.drop("d"), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(batch.num_rows):
-                d, q_ids, q_data, ids, data = (batch.column(c)[j].as_py() for c in range(5))
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q = np.floor(np.frombuffer(q_data, "<f8").reshape(len(q_ids), d) * scale)
-                m = np.floor(np.frombuffer(data, "<f8").reshape(len(ids), d) * scale)
-                if float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(d, 1) >= 2.0**53:
-                    q, m = (np.array([[int(x) for x in r] for r in y], object).reshape(len(y), d) for y in (q, m))
-                blocks = [(ids[a : a + BLOCK], m[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
-                out, _ = best(q, q_ids, blocks, k)
+                q_ids, q, ids, m = _matrices(*(batch.column(c)[j].as_py() for c in range(5)), scale)
+                known = None if q.dtype == object else np.frombuffer(batch.column(5)[j].as_py(), np.float64)
+                out, _ = best(q, q_ids, _blocks(ids, m), k, known)
                 rows_, i, s = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[list(rows_)] if rows_ else [], pa.int64()), pa.array(list(rows_), pa.int32()), pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array([q_ids.tobytes()] * len(out), pa.binary())], ["query_id", "q_row", "vec_id", "score", "q_block"])
 
-    scored = pairs.select("d", "q_ids", "q_data", "ids", "data").mapInArrow(run, "query_id long, q_row int, vec_id long, score long, q_block binary")
+    scored = pairs.select("d", "q_ids", "q_data", "ids", "data", "known").mapInArrow(run, "query_id long, q_row int, vec_id long, score long, q_block binary")
     # rows that repeat a query's id are queries of their own with the same answer
     w = Window.partitionBy("query_id", "q_row", "q_block").orderBy(F.col("score").desc(), "vec_id")
     ranked = scored.withColumn("q_block", F.xxhash64("q_block")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
