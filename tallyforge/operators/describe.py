@@ -86,3 +86,21 @@ def theta_from_rows(hashes: Column, theta: Column) -> Column:
         return pd.Series([theta_to_image(int(b), a) for a, b in zip(h, t, strict=True)])
 
     return of(hashes, theta.cast("long"))
+
+
+@F.udtf(returnType="item double, upto bigint")
+class ItemsTable:
+    """A table function over a numeric quantile sketch and its kind: (item, upto), in order.
+
+    For lateral joins; in SQL after spark.udtf.register(name, ItemsTable).
+    """
+
+    def eval(self, sketch: bytes, what: str):
+        if sketch is None:
+            return
+        q = KINDS[what].from_bytes(bytes(sketch))
+        if what == "tdigest":
+            yield from zip(q.means.tolist(), q.weights.cumsum().tolist(), strict=True)
+        else:
+            v = q.view()
+            yield from zip(map(float, v.items), v.upto, strict=True)

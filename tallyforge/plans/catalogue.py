@@ -394,6 +394,14 @@ def kll_description(spark, sf):
     return w.groupBy("l_returnflag").agg(F.first("d.n").alias("n"), F.first("d.low").alias("low"), F.first("d.high").alias("high"), F.max("x.upto").alias("weight"), (F.count("*") == F.first("d.retained")).alias("same")).select("l_returnflag", "n", "low", "high", "weight", F.col("same").alias("fewer"))
 
 
+@query("SELECT l_linestatus, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_linestatus")
+def kll_items_table(spark, sf):
+    """A sketch's rows through a table function."""
+    s = quantiles.summarise(table(spark, sf, "lineitem"), "l_quantity", ["l_linestatus"], "kll", k=100)
+    items = s.lateralJoin(describe.ItemsTable(F.col("sketch").outer(), F.lit("kll")))
+    return items.groupBy("l_linestatus").agg(F.max("upto").alias("n"), F.min("item").alias("low"), F.max("item").alias("high"))
+
+
 @query("SELECT count(*) AS n, round(avg(CASE WHEN l_extendedprice <= 20000 THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS exact, true AS within, true AS sums_to_one FROM lineitem")
 def req_rank_cdf_pmf(spark, sf):
     li = table(spark, sf, "lineitem")
