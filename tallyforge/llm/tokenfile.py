@@ -33,7 +33,7 @@ from tallyforge.llm.tokens import encoder, vocabulary_path, vocabulary_size
 
 BLOCK = 4096
 #: An image is closed at so many ids (a longer document has one of its own).
-IMAGE_IDS = 2 << 20
+IMAGE_IDS = 1 << 19
 MOST_SHARDS = 200_000
 _HEAD = struct.Struct("<4s4IQ")
 

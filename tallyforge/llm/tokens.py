@@ -122,7 +122,7 @@ class Encoder:
 
     STEP = 1 << 13
 
-    def __init__(self, path: str, most_chunks: int = 500_000, most_words: int = 900_000):
+    def __init__(self, path: str, most_chunks: int = 350_000, most_words: int = 800_000):
         self.path, self.dtype = path, id_type(vocabulary_size(path))
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
