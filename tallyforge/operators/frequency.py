@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions import hash63
 from tallyforge.kernels.intervals import countmin_sizes
 
+#: Rows that bounded counters take in at a time.
+SLICE = 8192
 NO_FALSE_POSITIVES, NO_FALSE_NEGATIVES = "no_false_positives", "no_false_negatives"
 
 
@@ -42,7 +44,7 @@ def _thinned(counts: dict, capacity: int) -> tuple[dict, int]:
 
 
 def build_bounded(df: DataFrame, item: str, capacity: int, weight: str | None = None) -> tuple[DataFrame, int]:
-    """((item, cnt) rows, offset) with at most 2 * capacity counters in a task, whatever the number of items.
+    """((item, cnt) rows, offset) with at most 2 * capacity + SLICE counters in a task, whatever the number of items.
 
     A task that holds twice the capacity subtracts the (capacity + 1)st greatest count from all and drops what is
     not above it; what was subtracted is part of the offset, so cnt <= truth <= cnt + offset. The offset is
@@ -57,7 +59,7 @@ def build_bounded(df: DataFrame, item: str, capacity: int, weight: str | None =
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in (batch.slice(at, capacity) for at in range(0, batch.num_rows, capacity)):
+            for part in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
                 one = pa.Table.from_batches([part]).group_by("item").aggregate([("cnt", "sum")])
                 for x, c in zip(one.column("item").to_pylist(), one.column("cnt_sum").to_pylist(), strict=True):
                     held[x] = held.get(x, 0) + c

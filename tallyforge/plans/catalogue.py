@@ -362,7 +362,7 @@ def kll_rank_error(spark, sf):
     li = table(spark, sf, "lineitem")
     s = li.groupBy("l_returnflag").agg(quantiles.kll("l_extendedprice", 200).alias("s"), F.count("*").alias("n"))
     q = s.select("l_returnflag", "n", quantiles.kll_quantiles("s", RANKS).alias("q"))
-    true = li.join(F.broadcast(q), "l_returnflag").groupBy("l_returnflag").agg(F.first("n").alias("n"), *[F.avg((F.col("l_extendedprice") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(3)])  # a row per flag
+    true = li.join(q, "l_returnflag").groupBy("l_returnflag").agg(F.first("n").alias("n"), *[F.avg((F.col("l_extendedprice") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(3)])  # a row per flag
     e = 3 * intervals.kll_rank_error(200)
     within = F.lit(True)
     for i, r in enumerate(RANKS):
@@ -418,7 +418,7 @@ def _req(spark, sf, high: bool):
     s = quantiles.summarise(li, "l_extendedprice", ["l_returnflag"], "req", high=high)
     asked = [0.5, 0.9, 0.99, 0.999] if high else [0.5, 0.1, 0.01, 0.001]
     q = s.select("l_returnflag", quantiles.quantile("sketch", asked, "req").alias("q"))
-    true = li.join(F.broadcast(q), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.avg((F.col("l_extendedprice") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(4)])  # a row per flag
+    true = li.join(q, "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.avg((F.col("l_extendedprice") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(4)])  # a row per flag
     within = F.lit(True)
     for i, r in enumerate(asked):
         low, high_ = intervals.req_rank_bounds(r, 12, 10**9, 3, high)
@@ -442,7 +442,7 @@ def tdigest_quantiles(spark, sf):
     s = quantiles.summarise(ev, "value", ["event_type"], "tdigest")
     asked = [0.01, 0.5, 0.99]
     q = s.select("event_type", quantiles.quantile("sketch", asked, "tdigest").alias("q"))
-    true = ev.join(F.broadcast(q), "event_type").groupBy("event_type").agg(F.count("*").alias("n"), *[F.avg((F.col("value") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(3)])  # a row per type
+    true = ev.join(q, "event_type").groupBy("event_type").agg(F.count("*").alias("n"), *[F.avg((F.col("value") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(3)])  # a row per type
     within = F.lit(True)
     for i, r in enumerate(asked):
         within = within & (F.abs(F.col(f"r{i}") - r) <= 0.02)
@@ -481,7 +481,7 @@ def kll_image_interop(spark, sf):
 
 @query("SELECT l_partkey AS item, count(*) AS exact, true AS within FROM lineitem GROUP BY l_partkey")
 def freq_bounded_counters(spark, sf):
-    """No task holds more than twice the capacity, and bounds hold for every item."""
+    """Tasks hold a bounded number of counters, and bounds hold for every item."""
     li = table(spark, sf, "lineitem")
     summary = frequency.build_bounded(li, "l_partkey", 64)
     exact = li.groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("exact"))
