@@ -78,3 +78,17 @@ def test_kll_images_of_spark(spark, n):
     assert asked(back) == asked(data) and asked(data)[0] == [own.quantile(r) for r in ranks]
     mine = Kll(100).extend([float(x) for x in range(n)])
     assert abs(asked(images.kll_image(mine))[0][2] - n / 2) <= max(1, 0.05 * n)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 300, 4000])
+@pytest.mark.parametrize("theta", [TOP, 1 << 61])
+def test_packed_theta_images(spark, n, theta):
+    hashes = np.unique(np.random.default_rng(n).integers(1, theta, n))
+    data = images.theta_packed_image(theta, hashes)
+    got = theta_image(data)
+    assert got[0] == theta and got[1].tolist() == hashes.tolist()
+    assert n < 9 or len(data) < len(images.theta_to_image(theta, hashes))
+    # Spark's functions take it, too
+    plain = images.theta_to_image(theta, hashes)
+    ask = lambda d: spark.createDataFrame([(d,)], "s binary").select(F.theta_sketch_estimate(F.theta_union("s", "s"))).first()[0]
+    assert ask(data) == ask(plain)
