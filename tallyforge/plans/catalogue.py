@@ -299,6 +299,30 @@ def hll_estimate(spark, sf):
     return exact.join(e, "l_returnflag").select("l_returnflag", "exact", (F.col("exact").between(F.col("lb"), F.col("ub")) & near).alias("within"))
 
 
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS same_estimate, true AS near FROM lineitem GROUP BY l_returnflag")
+def hll_image_interop(spark, sf):
+    """Spark's image, read here and written again with 4, 6 and 8 bits a register, gives Spark the same estimate."""
+    from tallyforge.sources import images
+
+    again = {b: F.pandas_udf(lambda s, b=b: s.map(lambda x: images.hll_image(images.hll_from_image(bytes(x))["registers"], b)), "binary") for b in (4, 6, 8)}
+    s = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("exact"), hll.sketch("l_partkey", 10).alias("s"))
+    e = s.select("l_returnflag", "exact", *[F.hll_sketch_estimate(f("s")).alias(f"e{b}") for b, f in again.items()])
+    # an image that is marked as merged has no running estimate, so 4 deviations of one without
+    near = F.abs(F.col("e8") - F.col("exact")) <= 4 * intervals.hll_error(10, 1, True) * F.col("exact")
+    return e.select("l_returnflag", "exact", ((F.col("e4") == F.col("e8")) & (F.col("e6") == F.col("e8"))).alias("same_estimate"), near.alias("near"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS same_estimate FROM lineitem GROUP BY l_returnflag")
+def theta_image_interop(spark, sf):
+    """Spark's sketch, read here and written again plain and compressed, is the same to Spark."""
+    from tallyforge.sources import images, theta_image
+
+    again = [F.pandas_udf(lambda s, w=w: s.map(lambda x: w(*theta_image(bytes(x)))), "binary") for w in (images.theta_to_image, images.theta_packed_image)]
+    s = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("exact"), theta.sketch("l_partkey", 9).alias("s"))
+    e = s.select("l_returnflag", "exact", F.theta_sketch_estimate("s").alias("e"), *[F.theta_sketch_estimate(f("s")).alias(f"e{i}") for i, f in enumerate(again)])
+    return e.select("l_returnflag", "exact", ((F.col("e") == F.col("e0")) & (F.col("e") == F.col("e1"))).alias("same_estimate"))
+
+
 @query(
     f"""WITH h AS (SELECT {H60.format("l_orderkey")} AS h FROM lineitem UNION ALL SELECT {H60.format("o_orderkey")} FROM orders)
     SELECT h % 256 AS slot, max({VALUE.format("h")})::INT AS v FROM h GROUP BY 1"""
