@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tallyforge.kernels.intervals import bloom_sizes
 
 #: Packed filters of up to so many bits go to every task (32 MB); larger ones are joined.
 MOST_BROADCAST_BITS = 1 << 28
+#: Bits that a task packs as one value (8 KB): 4096 values of the largest filter.
+CHUNK_BITS = 1 << 16
 
 
 def pair(item: Column, how: str = "xxhash64") -> list[Column]:
@@ -44,13 +49,30 @@ def invert(a: DataFrame, bits: int) -> DataFrame:
 
 
 def packed(filter_bits: DataFrame, bits: int) -> np.ndarray:
-    """The filter as bytes on the driver; only for at most MOST_BROADCAST_BITS bits."""
+    """The filter as bytes on the driver; only for at most MOST_BROADCAST_BITS bits.
+
+    Tasks pack whole chunks, so that little more than the filter's own bytes reach the driver.
+    """
     if bits > MOST_BROADCAST_BITS:
         raise ValueError("this filter is too large to be packed")
-    one = filter_bits.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 AS int))")).alias("v")).toArrow()
-    out = np.zeros(-(-bits // 8), np.uint8)
-    out[one.column("at").to_numpy()] = one.column("v").to_numpy()
-    return out
+
+    size = CHUNK_BITS // 8
+    chunks = -(-bits // CHUNK_BITS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, met = np.zeros(chunks * size, np.uint8), np.zeros(chunks, bool)
+        for batch in batches:
+            bit = batch.column(0).to_numpy()
+            np.bitwise_or.at(own, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+            met[bit // CHUNK_BITS] = True
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([own[i * size : (i + 1) * size].tobytes() for i in at], pa.binary())], ["chunk", "data"])
+
+    whole = filter_bits.select("bit").repartition(F.floor(F.col("bit") / CHUNK_BITS)).mapInArrow(pack, "chunk long, data binary").toArrow()
+    out = np.zeros((chunks, size), np.uint8)
+    for at, data in zip(whole.column("chunk").to_pylist(), whole.column("data"), strict=True):
+        out[at] = np.frombuffer(data.as_buffer(), np.uint8)
+    return out.ravel()[: -(-bits // 8)]
 
 
 def probe(df: DataFrame, item: str, filter_bits: DataFrame, expected: int = 10_000, false_positives: float = 0.01, how: str = "xxhash64") -> DataFrame:

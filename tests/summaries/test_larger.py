@@ -1,8 +1,9 @@
 """Registered queries on tables unlike the test data: values that repeat, more keys than one sketch holds."""
 
 import duckdb
-import pytest
+import numpy as np
 
+from tallyforge.operators import membership
 from tallyforge.plans import QUERIES, SQL
 
 
@@ -21,3 +22,23 @@ def test_a_median_among_equal_values(spark, tmp_path):
     values = "[1.0, 2.0, 3.0]"  # 100 of each: a third is below the median and two thirds are up to it
     duckdb.execute(f"COPY (SELECT (i % 2)::BIGINT AS user_id, unnest({values}) AS value FROM range(200) r(i)) TO '{tmp_path}/events.parquet'")
     same_as_sql(spark, tmp_path, "stream_running_digest", ["events"])
+
+
+def test_a_filter_reaches_the_driver_as_its_bytes(spark, monkeypatch):
+    n, sent = 50_000, []
+    kind = type(spark.range(1))
+    whole = kind.toArrow
+
+    def counted(df):
+        got = whole(df)
+        sent.append(got.nbytes)
+        return got
+
+    set_bits = membership.build(spark.range(n), "id", n)
+    bits, _ = membership.capacity(n, 0.01)
+    want = np.zeros(bits, bool)
+    want[[r.bit for r in set_bits.collect()]] = True
+    monkeypatch.setattr(kind, "toArrow", counted)
+    got = membership.packed(set_bits, bits)
+    assert np.array_equal(np.unpackbits(got, count=bits, bitorder="little").astype(bool), want)
+    assert sum(sent) <= 2 * bits / 8
