@@ -16,6 +16,7 @@ from tallyforge.kernels import intervals
 from tallyforge.operators.bottom import least_hashes
 
 MIN_LG_K, MAX_LG_K, DEFAULT_LG_K = 5, 26, 12
+SLICE = "__slice"
 
 
 def check_lg_k(lg_k: int) -> int:
@@ -29,6 +30,23 @@ def sketch(col: Column | str, lg_k: int = DEFAULT_LG_K) -> Column:
     return F.theta_sketch_agg(F.col(col) if isinstance(col, str) else col, check_lg_k(lg_k))
 
 
+def slices(rows: int, lg_k: int) -> int:
+    """So many slices of key space that half of a sketch's size holds a slice's share of the keys of so many rows."""
+    return max(1, -(-rows // (1 << (check_lg_k(lg_k) - 1))))
+
+
+def sliced(df: DataFrame, col: Column | str, n: int) -> DataFrame:
+    """df without null keys, with the slice of each key: sketches by SLICE count exactly, and counts and set operations add up over slices."""
+    key = F.col(col) if isinstance(col, str) else col
+    return df.where(key.isNotNull()).withColumn(SLICE, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+
+def sliced_sketch(df: DataFrame, col: Column | str, n: int, lg_k: int, name: str) -> DataFrame:
+    """(SLICE, name): a sketch for each slice. Keys move before they are sketched, so a task holds the sketches of few slices."""
+    key = F.col(col) if isinstance(col, str) else col
+    return sliced(df.select(key.alias("__k")), "__k", n).repartition(n, SLICE).groupBy(SLICE).agg(sketch("__k", lg_k).alias(name))
+
+
 def _trim(hashes: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k least hashes of each group of distinct (keys, hash, theta) and the new theta."""
     w = Window.partitionBy(*keys)

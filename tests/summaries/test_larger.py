@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 
 from tallyforge.operators import membership
 from tallyforge.plans import QUERIES, SQL
@@ -42,3 +43,20 @@ def test_a_filter_reaches_the_driver_as_its_bytes(spark, monkeypatch):
     got = membership.packed(set_bits, bits)
     assert np.array_equal(np.unpackbits(got, count=bits, bitorder="little").astype(bool), want)
     assert sum(sent) <= 2 * bits / 8
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """Tables of more keys than a sketch of 2 ** 20 holds."""
+    folder = tmp_path_factory.mktemp("many")
+    put = lambda name, sql: duckdb.execute(f"COPY ({sql}) TO '{folder}/{name}.parquet'")
+    put("orders", """SELECT i AS o_orderkey, i % 2199999 AS o_custkey, CASE WHEN i % 20 = 0 THEN '2-HIGH' ELSE '1-URGENT' END AS o_orderpriority, CASE WHEN i % 2 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus,
+        (i % 1000)::DOUBLE AS o_totalprice FROM range(2300000) r(i)""")
+    put("lineitem", """SELECT i AS l_orderkey, i % 1500000 AS l_partkey, (i // 1500000)::INT AS l_linenumber, (i % 50)::DOUBLE AS l_quantity, (i % 1000)::DOUBLE AS l_extendedprice,
+        CASE WHEN i % 2 = 0 THEN 'R' ELSE 'N' END AS l_returnflag FROM range(4600000) r(i)""")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["theta_a_not_b"])
+def test_more_keys_than_one_sketch_holds(spark, many, name):
+    same_as_sql(spark, many, name, ["orders", "lineitem"])
