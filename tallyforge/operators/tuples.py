@@ -19,14 +19,15 @@ from tallyforge.operators.bottom import thresholds
 from tallyforge.operators.theta import DEFAULT_LG_K, _trim, check_lg_k, lesser_thetas, marked
 
 
-def build(df: DataFrame, key: Column | str, summary: Mapping[str, Column], groups: list[str] | None = None, lg_k: int = DEFAULT_LG_K, how: str = "xxhash64") -> DataFrame:
+def build(df: DataFrame, key: Column | str, summary: Mapping[str, Column], groups: list[str] | None = None, lg_k: int = DEFAULT_LG_K, how: str = "xxhash64", few: bool = False) -> DataFrame:
+    """A sketch per group. few: the groups are few, as slices are, and their thresholds go to every task."""
     groups = groups or []
     h = hash63(F.col(key) if isinstance(key, str) else key, how)
     k = 1 << check_lg_k(lg_k)
     hashed = df.withColumn("hash", h).where(F.col("hash").isNotNull())
     # the thresholds first, from few rows of each task: only what stays is summarised and moved
     cut = thresholds(hashed.select(*groups, "hash"), groups, k, MAX_HASH)
-    held = hashed.crossJoin(F.broadcast(cut)) if not groups else hashed.join(cut, groups)  # one row
+    held = hashed.crossJoin(F.broadcast(cut)) if not groups else hashed.join(F.broadcast(cut) if few else cut, groups)  # one row
     rows = held.where(F.col("hash") < F.col("theta")).groupBy(*groups, "hash").agg(F.min("theta").alias("theta"), *[c.alias(n) for n, c in summary.items()])
     return marked(rows, cut)
 

@@ -57,6 +57,6 @@ def many(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["theta_a_not_b", "theta_intersection", "theta_sampling_p"])
+@pytest.mark.parametrize("name", ["theta_a_not_b", "theta_intersection", "theta_sampling_p", "tuple_array_sum"])
 def test_more_keys_than_one_sketch_holds(spark, many, name):
     same_as_sql(spark, many, name, ["orders", "lineitem"])
