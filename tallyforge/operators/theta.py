@@ -36,15 +36,14 @@ def slices(rows: int, lg_k: int) -> int:
 
 
 def sliced(df: DataFrame, col: Column | str, n: int) -> DataFrame:
-    """df without null keys, with the slice of each key: sketches by SLICE count exactly, and counts and set operations add up over slices."""
-    key = F.col(col) if isinstance(col, str) else col
-    return df.where(key.isNotNull()).withColumn(SLICE, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    """df with the slice of each key: sketches by SLICE count exactly, and counts and set operations add up over slices."""
+    return df.withColumn(SLICE, F.pmod(F.xxhash64(F.col(col) if isinstance(col, str) else col), F.lit(n)).cast("int"))
 
 
 def sliced_sketch(df: DataFrame, col: Column | str, n: int, lg_k: int, name: str) -> DataFrame:
     """(SLICE, name): a sketch for each slice. Keys move before they are sketched, so a task holds the sketches of few slices."""
-    key = F.col(col) if isinstance(col, str) else col
-    return sliced(df.select(key.alias("__k")), "__k", n).repartition(n, SLICE).groupBy(SLICE).agg(sketch("__k", lg_k).alias(name))
+    key = df.select((F.col(col) if isinstance(col, str) else col).alias("__k")).where("__k IS NOT NULL")
+    return sliced(key, "__k", n).repartition(n, SLICE).groupBy(SLICE).agg(sketch("__k", lg_k).alias(name))
 
 
 def _trim(hashes: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -133,10 +132,9 @@ def estimating_union(a: DataFrame, b: DataFrame) -> tuple[int, int, int, int, in
     side = lambda s, x, y: s.select("hash", "theta", F.lit(x).alias("in_a"), F.lit(y).alias("in_b"))
     every = side(a, 1, 0).unionByName(side(b, 0, 1))
     one = every.groupBy("hash").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.min(F.when(F.col("in_a") == 1, F.col("theta"))).alias("ta"), F.min(F.when(F.col("in_b") == 1, F.col("theta"))).alias("tb"))
-    w = Window.partitionBy()  # two sketches' rows
-    cut = F.least(F.min("ta").over(w), F.min("tb").over(w), F.lit(MAX_HASH))
+    cut = every.agg(F.coalesce(F.min("theta"), F.lit(MAX_HASH)).alias("cut"))
     below = F.col("hash") < F.col("cut")
-    r = one.withColumn("cut", cut).agg(
+    r = one.crossJoin(F.broadcast(cut)).agg(  # one row
         F.count(F.when(F.col("in_a") == 1, F.col("hash"))).alias("na"),
         F.count(F.when(F.col("in_b") == 1, F.col("hash"))).alias("nb"),
         F.coalesce(F.min("ta"), F.lit(MAX_HASH)).alias("ta"),
