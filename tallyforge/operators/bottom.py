@@ -60,8 +60,9 @@ def least_hashes(hashes: DataFrame, keys: list[str], k: int) -> DataFrame:
     """(keys, hash): distinct, at most SLICES * (k + 1) for each group, its k + 1 least ones among them."""
     schema = hashes.schema
     first = hashes.mapInArrow(least(keys, k), schema)
-    salted = first.repartition(*keys, F.pmod(F.xxhash64("hash"), F.lit(SLICES)))
-    return salted.mapInArrow(least(keys, k), schema)
+    # a task hands on what it cannot cut, so equal hashes of several tasks are first made one, in the same shuffle
+    salted = first.withColumn("__salt", F.pmod(F.xxhash64("hash"), F.lit(SLICES))).repartition(*keys, "__salt")
+    return salted.dropDuplicates([*keys, "__salt", "hash"]).select(*schema.names).mapInArrow(least(keys, k), schema)
 
 
 def thresholds(hashes: DataFrame, keys: list[str], k: int, start: int) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tallyforge.operators import membership
+from tallyforge.operators.bottom import least_hashes
 from tallyforge.plans import QUERIES, SQL
 
 
@@ -59,3 +60,9 @@ def many(tmp_path_factory):
 @pytest.mark.parametrize("name", ["theta_a_not_b", "theta_intersection", "theta_sampling_p", "tuple_array_sum", "theta_distinct_by_priority", "theta_union_agg_rollup", "theta_jaccard", "tuple_array_intersection", "tuple_spend_per_customer", "tuple_intersection_policy"])
 def test_more_keys_than_one_sketch_holds(spark, many, name):
     same_as_sql(spark, many, name, ["orders", "lineitem"])
+
+
+def test_hashes_of_tasks_that_cut_nothing_are_distinct(spark):
+    n = 2_400_000
+    twice = spark.range(n).union(spark.range(n)).toDF("hash")
+    assert least_hashes(twice, [], 1 << 22).count() == n
